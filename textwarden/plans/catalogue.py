@@ -1,0 +1,4 @@
+"""Queries of the engine's own operators, with the SQL that checks them."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
