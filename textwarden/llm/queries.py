@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import decontaminate, quality, toxicity
+from textwarden.llm import decontaminate, jaccard, neighbours, pieces, quality, sharding, toxicity
 from textwarden.llm.common import held_out, table
 
 
@@ -29,5 +29,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op3_quality": op3_quality, "op5_toxicity": op5_toxicity, "op7_decontamination": op7_decontamination}
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("_row")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = {f"shard-{i:02d}": 2 if i % 8 == 0 else 1 for i in range(32)}
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), ["doc_id"], shards).select("doc_id", "slot", "shard")
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_quality": op3_quality, "op5_toxicity": op5_toxicity, "op6_neighbours": op6_neighbours, "op7_decontamination": op7_decontamination, "op8_jaccard": op8_jaccard, "op9_sharding": op9_sharding, "op10_pieces": op10_pieces}
 ORACLE_SQL: dict[str, str] = {}
