@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import decontaminate, jaccard, neighbours, pieces, quality, sharding, toxicity
+from textwarden.llm import decontaminate, jaccard, neighbours, pieces, pii, quality, sharding, toxicity
 from textwarden.llm.common import held_out, table
 
 
@@ -20,6 +20,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))), 4, 2)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _judged(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 3, 1, "evidence")
@@ -47,5 +51,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_quality": op3_quality, "op5_toxicity": op5_toxicity, "op6_neighbours": op6_neighbours, "op7_decontamination": op7_decontamination, "op8_jaccard": op8_jaccard, "op9_sharding": op9_sharding, "op10_pieces": op10_pieces}
+QUERIES = {"op3_quality": op3_quality, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_neighbours": op6_neighbours, "op7_decontamination": op7_decontamination, "op8_jaccard": op8_jaccard, "op9_sharding": op9_sharding, "op10_pieces": op10_pieces}
 ORACLE_SQL: dict[str, str] = {}
