@@ -2,7 +2,7 @@
 
 Learning takes at most PER_CLASS labelled documents of each label (those with the smallest id hashes). Their words are
 counted in Spark; a word joins the vocabulary when it tells the labels apart (chi-squared of document frequencies at
-least CHI2, MAX_TERMS at most). Within that vocabulary the cosine is exact. Examples stand in blocks of BLOCK; for each
+least CHI2, and EFFECT for each example; MAX_TERMS at most). Within that vocabulary the cosine is exact. Examples stand in blocks of BLOCK; for each
 term and block the index keeps the largest weight, so that the sum over a document's terms bounds any score in the
 block. Blocks are opened in the order of their bounds until no unopened block can reach the K-th best score.
 
@@ -30,6 +30,8 @@ from textwarden.llm.common import fit_logistic, labelled_sample, logistic, slice
 PER_CLASS = 3000
 MAX_TERMS = 4096
 CHI2 = 15.0
+#: Least effect size of a term, chi-squared over the number of examples: significance alone grows with the sample.
+EFFECT = 0.01
 BLOCK = 64
 K = 15
 
@@ -180,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     terms = (
         counted.select("y", F.explode(F.map_keys("counts")).alias("term")).groupBy("term")
         .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a + b >= 3")
-        .withColumn("x", chi_squared(F.col("a"), F.col("b"), n1, n0)).where(F.col("x") >= chi2)
+        .withColumn("x", chi_squared(F.col("a"), F.col("b"), n1, n0)).where(F.col("x") >= max(chi2, EFFECT * (n1 + n0)))
         .orderBy(F.desc("x"), "term").limit(max_terms)
     )
     vocabulary = sorted(bytes(r["term"]) for r in terms.select("term").collect())
