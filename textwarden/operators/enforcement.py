@@ -39,10 +39,10 @@ def leak_curve(spans: DataFrame, chunks: DataFrame, lookbacks: DataFrame, key: s
     """
     w = Window.partitionBy(key).orderBy("chunk_end")
     ends = chunks.select(key, "chunk_end", F.lag("chunk_end", 1, 0).over(w).alias("before"))
-    cut = ends.join(spans, key).where(F.col("chunk_end") >= F.col("fires_at")).groupBy(key, "start", "fires_at").agg(F.min(F.struct("chunk_end", "before")).alias("k"))
+    cut = ends.join(spans, key).where(F.col("chunk_end") >= F.col("fires_at")).groupBy(key, "start", "fires_at").agg(F.min(F.struct("chunk_end", "before")).alias("_cut"))
     grid = cut.crossJoin(F.broadcast(lookbacks))
-    leaked = F.greatest(F.lit(0), F.least(F.col("k.before") - F.col("lookback") - F.col("start"), F.col("fires_at") - F.col("start")))
-    first = grid.join(ends.select(key, "chunk_end"), key).where((F.col("chunk_end") < F.col("k.chunk_end")) & (F.col("chunk_end") > F.col("lookback"))).groupBy(key, "lookback").agg(F.min("chunk_end").alias("first_emit"))
+    leaked = F.greatest(F.lit(0), F.least(F.col("_cut.before") - F.col("lookback") - F.col("start"), F.col("fires_at") - F.col("start")))
+    first = grid.join(ends.select(key, "chunk_end"), key).where((F.col("chunk_end") < F.col("_cut.chunk_end")) & (F.col("chunk_end") > F.col("lookback"))).groupBy(key, "lookback").agg(F.min("chunk_end").alias("first_emit"))
     return grid.select(key, "lookback", leaked.alias("leaked")).join(first, [key, "lookback"], "left")
 
 
