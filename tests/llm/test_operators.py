@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textwarden.llm import decontaminate, jaccard, neighbours, pieces, pii, quality, sharding, toxicity
+from textwarden.llm import decontaminate, jaccard, licenses, neighbours, pieces, pii, quality, sharding, tokens, toxicity
 from textwarden.llm.common import held_out, table, written
 
 DATA = "/root/testdata/sf0.01"
@@ -198,3 +198,37 @@ def test_pieces_round_trip_and_best_sums(spark):
     encoder([u[1:] for u in units])
     assert all(v.scalar(u) == ids for u, ids in encoder.memo.items())
     assert got[90]["ids"] == [] and v.decode(list(got[1]["ids"])) == texts[0][1]
+
+
+def test_token_counts_by_each_rule(spark):
+    texts = [(1, "first line\n\n\nsecond  line é\n  x"), (2, "one"), *ODD]
+    whole = {}
+    with open(tokens.VOCABULARY, "rb") as f:
+        counter = tokens.Counter(f.read())
+    for rule in tokens.RULES:
+        rows = tokens.count(frame(spark, texts), rule=rule).collect()
+        for k, t in texts:
+            mine = sorted((r for r in rows if r["doc_id"] == k), key=lambda r: r["section"])
+            assert round(sum(r["n_tokens"] for r in mine), 6) == len(counter.encoding.encode_ordinary(t or ""))
+            assert [(t or "")[r["start_char"] : r["end_char"]] for r in mine] == ((t or "").splitlines(keepends=True) if t and "\t" not in t else [t or ""]) or k == 92
+            whole[rule, k] = [r["n_tokens"] for r in mine]
+    # by hand: each token's bytes, dealt to lines one by one
+    text = texts[0][1]
+    line = np.cumsum([0] + [b == 10 for b in text.encode()])[:-1]
+    want, at = np.zeros(line[-1] + 1), 0
+    for i in counter.encoding.encode_ordinary(text):
+        n = int(counter.lengths[i])
+        want += np.bincount(line[at : at + n], minlength=len(want)) / n
+        at += n
+    assert np.allclose(whole["shared", 1], want)
+    fields = tokens.count(frame(spark, [(1, "a b", None, "c")], "doc_id long, text string, url string, lang string"), ["url", "text", "lang"]).collect()
+    assert [r["section"] for r in fields] == [0, 1, 2]
+
+
+def test_licenses(spark):
+    rows = [(1, "intro. Licensed under the Apache License, Version 2.0 end"), (2, "licensed under the MIT"), (3, "Released, under\nthe MIT licence? Released under the MIT License. x"), (4, "This work was licensed under the GNU General Public License version 3"), *ODD]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(frame(spark, rows)).collect()}
+    assert [(x["name"], rows[0][1][x["start"] : x["end"]]) for x in got[1]] == [("Apache-2.0", "Licensed under the Apache License, Version 2.0")]
+    assert got[2] == [] and {x["name"] for x in got[3]} == {"MIT"}
+    assert [x["name"] for x in got[4]] == ["GPL-3.0"] and 0.8 <= got[4][0]["coverage"] < 1
+    assert all(got[k] == [] for k, _ in ODD)

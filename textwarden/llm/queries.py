@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import decontaminate, jaccard, neighbours, pieces, pii, quality, sharding, toxicity
+from textwarden.llm import decontaminate, jaccard, licenses, neighbours, pieces, pii, quality, sharding, tokens, toxicity
 from textwarden.llm.common import held_out, table
 
 
@@ -15,6 +15,14 @@ def _judged(scored: DataFrame, modulus: int, remainder: int, *more: str) -> Data
     )
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(table(spark, sf_dir, "documents"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _judged(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))), 4, 2)
@@ -51,5 +59,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_quality": op3_quality, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_neighbours": op6_neighbours, "op7_decontamination": op7_decontamination, "op8_jaccard": op8_jaccard, "op9_sharding": op9_sharding, "op10_pieces": op10_pieces}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_license_scan": op2_license_scan, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_neighbours": op6_neighbours, "op7_decontamination": op7_decontamination, "op8_jaccard": op8_jaccard, "op9_sharding": op9_sharding, "op10_pieces": op10_pieces}
 ORACLE_SQL: dict[str, str] = {}
