@@ -10,7 +10,7 @@ Blanks become U+2581 and one is put in front. No piece has U+2581 after another
 units joined. Each distinct unit is encoded once for a task (a bounded memory of them is kept). Units of one length
 advance together: at each end position, the hashes of the substrings that end there (from prefix hashes) probe the
 sorted hashes of the pieces, the best sum is the vectorised maximum, and its length is the backpointer. Each encoded
-unit is compared with its spelling, and on a hash collision is encoded from the piece strings instead.
+text is decoded and compared, and on a hash collision is encoded from the piece strings instead.
 
 Defined results: a null or empty text has no ids and decodes to ''; repeated rows are encoded one by one.
 """
@@ -117,17 +117,22 @@ class Vocabulary:
             bare = (taken == -1) & (at > 0)
             walked.append(np.where(bare, -3 - codes[at - 1, column].astype(np.int64), taken))
             at = at - np.where(at > 0, back[at, column], 0)
-        rows = np.array(walked[::-1]).T.tolist()
-        out = []
-        for unit, row in zip(units, rows, strict=True):
-            ids = []
-            for x in row:
-                if x >= 0:
-                    ids.append(x)
-                elif x < -2:
-                    ids += [int(self.byte[b]) for b in chr(-3 - x).encode("utf-8", "surrogatepass")]
-            out.append(ids if self.spelled(ids) == unit else self.scalar(unit))
-        return out
+        rows = np.array(walked[::-1]).T
+        if (rows < -2).any():
+            return [self._filled(r) for r in rows.tolist()]
+        held = rows >= 0
+        flat, ends = rows[held].tolist(), np.cumsum(held.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _filled(self, row: list[int]) -> list[int]:
+        """A unit's ids, with bare characters as their bytes."""
+        ids = []
+        for x in row:
+            if x >= 0:
+                ids.append(x)
+            elif x < -2:
+                ids += [int(self.byte[b]) for b in chr(-3 - x).encode("utf-8", "surrogatepass")]
+        return ids
 
     def spelled(self, ids: list[int]) -> str:
         """Pieces joined, with runs of byte pieces read as UTF-8."""
@@ -175,6 +180,9 @@ class Encoder:
         for u in set().union(*split):
             if u not in memo:
                 by.setdefault(len(u), []).append(u)
+        if "\n" in by.get(1, ()):
+            by[1].remove("\n")
+            memo["\n"] = self.v.viterbi(["\n"])[0]
         for size, units in by.items():
             step = max(1, 400_000 // (size * min(size, self.v.longest) + 1))
             for i in range(0, len(units), step):
@@ -182,6 +190,10 @@ class Encoder:
                     memo[u] = ids
         return [list(chain.from_iterable(map(memo.__getitem__, us))) for us in split]
 
+    def exact(self, text: str) -> list[int]:
+        """Without hashes."""
+        return [x for u in self.unit.findall(BLANK + text.replace(" ", BLANK)) for x in self.v.scalar(u)]
+
 
 def encode(docs: DataFrame, model: str | bytes = MODEL) -> DataFrame:
     """docs with ids (array of ints) and round_trip (whether they decode to the text) added; other columns stay.
@@ -197,7 +209,11 @@ def encode(docs: DataFrame, model: str | bytes = MODEL) -> DataFrame:
         for part in slices(batches):
             texts = part.column("text").to_pylist()
             ids = encoder(texts)
-            same = [encoder.v.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
+            for i, t in enumerate(texts):
+                if t and encoder.v.decode(ids[i]) != t.replace(BLANK, " "):
+                    ids[i] = encoder.exact(t)
+            # what decodes is the text, but for its own U+2581
+            same = [BLANK not in (t or "") for t in texts]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=[*part.schema.names, "ids", "round_trip"])
 
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
