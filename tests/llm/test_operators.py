@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,47 @@ def test_components_equal_brute_force(spark):
     assert got == jaccard.brute_force(texts)
 
 
+def test_texts_are_shuffled_when_too_many_are_looked_up(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SENT_ROWS", 0)
+    base = [f"w{i}" for i in range(90)]
+    texts = {i: " ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(80, 90)} | {1: "some other text of a few words", 2: None}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, texts.items())).collect()}
+    assert got == jaccard.brute_force(texts)
+
+
+@pytest.mark.parametrize("block", [1 << 19, 64, 7])
+def test_shingles_do_not_depend_on_blocks(monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(3)
+    texts = [None, "", " ", "\n\n", "A b", "one two three four five", "x" * 3000 + " y", *("".join(rng.choices("aAbB é \x1f\x0b\t\n  z ", k=rng.randint(0, 300))) for _ in range(200))]
+    words = [(t or "").encode().lower().split() for t in texts]
+    want = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    got = jaccard.Shingler().many(texts)
+    assert [len(x) for x in got] == [len(x) for x in want]
+    for _ in range(2000):
+        i, j = rng.randrange(len(texts)), rng.randrange(len(texts))
+        assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
+
+
+def test_shared_keys_do_not_depend_on_batches():
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    run, rng = jaccard._shared(Rows()), random.Random(1)
+    for _ in range(500):
+        rows = sorted((rng.randint(-3, 4), rng.randint(-6, 6)) for _ in range(rng.randint(0, 40)))
+        batches, at = [], 0
+        while at < len(rows):
+            part, at = rows[at : at + (n := rng.choice([0, 1, 1, 2, 3, 5, 9]))], at + n
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in (0, 1)], names=["key", "node"]))
+        want = []
+        for key in {r[0] for r in rows}:
+            nodes = sorted({r[1] for r in rows if r[0] == key})
+            want += [(key, x, nodes[0], len(nodes) > 2) for x in (nodes if len(nodes) > 2 else nodes[1:])]
+        assert sorted(tuple(r.values()) for b in run(iter(batches)) for r in b.to_pylist()) == sorted(want)
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(5, "a b c d e f g"), (3, "A b c d e  f g"), (3, "A b c d e  f g"), (7, ""), (8, ""), (9, None), (None, "z y x")]
     kept = [r["doc_id"] for r in jaccard.representatives(frame(spark, rows)).collect()]
