@@ -192,6 +192,30 @@ def test_block_max_search_is_exact():
     assert skipped
 
 
+def test_vocabulary_does_not_shrink_with_the_sample(spark):
+    rows = [(i, f"plain words {'rareslur' if i % 2 and i < 64 else 'and'} {'vile' if i % 2 and i % 20 else 'kind'}") for i in range(4200)]
+    labels = frame(spark, [(i, i % 2) for i in range(4200)], "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, rows), labels)
+    assert len(model.label) > 2000 and b"rareslur" in model.vocabulary
+    assert model.score(model.counts("a rareslur here"))[0] >= 0.7 > model.score(model.counts("a kind text"))[0]
+
+
+@pytest.mark.parametrize(("rows", "dense"), [(300, 1), (300, 32), (300, 10**6), (5, 32)])
+def test_batches_find_what_single_searches_find(monkeypatch, rows, dense):
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    rng = np.random.default_rng(8)
+    vectors = []
+    for _ in range(rows):
+        t = np.unique(rng.integers(0, 40, rng.integers(1, 9)))
+        w = rng.choice([1.0, 2.0], len(t))
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    index = toxicity.BlockMaxIndex(vectors, rng.permutation(rows), 40, block=8)
+    for without in (None, rng.integers(0, rows, rows)):
+        for i, (got, cosines) in enumerate(index.search_many(vectors, 5, without)):
+            want, exact, _ = index.search(*vectors[i], 5, None if without is None else without[i])
+            assert got.tolist() == want.tolist() and np.allclose(cosines, exact)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((400, 16)).astype(np.float32)

@@ -2,9 +2,10 @@
 
 Learning takes at most PER_CLASS labelled documents of each label (those with the smallest id hashes). Their words are
 counted in Spark; a word joins the vocabulary when it tells the labels apart (chi-squared of document frequencies at
-least CHI2, and EFFECT for each example; MAX_TERMS at most). Within that vocabulary the cosine is exact. Examples stand in blocks of BLOCK; for each
-term and block the index keeps the largest weight, so that the sum over a document's terms bounds any score in the
-block. Blocks are opened in the order of their bounds until no unopened block can reach the K-th best score.
+least CHI2, whatever the sample's size; MAX_TERMS at most). Within that vocabulary the cosine is exact. Examples stand
+in blocks of BLOCK; for each term and block the index keeps the largest weight, so that the sum over a document's terms
+bounds any score in the block. Blocks are opened in the order of their bounds until no unopened block can reach the K-th
+best score. Documents with different counts are searched BATCH at a time: frequent terms as a matrix, rare ones by list.
 
 The K nearest vote with their cosine squared as weight, each label's votes scaled back to its share of the labels.
 A logistic curve, fitted on the examples with each one's own row (and exact copies of it) left out, turns the vote into
@@ -30,9 +31,10 @@ from textwarden.llm.common import fit_logistic, labelled_sample, logistic, slice
 PER_CLASS = 3000
 MAX_TERMS = 4096
 CHI2 = 15.0
-#: Least effect size of a term, chi-squared over the number of examples: significance alone grows with the sample.
-EFFECT = 0.01
 BLOCK = 64
+BATCH = 256
+#: Terms that one example of so many holds, or more, are columns of a matrix; the rest stay lists.
+DENSE = 32
 K = 15
 
 
@@ -56,6 +58,22 @@ class BlockMaxIndex:
         self.most = np.zeros(terms * self.blocks)
         np.maximum.at(self.most, cell, weight)
         self.most = self.most.reshape(terms, self.blocks)
+        self._columns = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_columns": None}
+
+    def _matrix(self) -> tuple[np.ndarray, np.ndarray]:
+        """The frequent terms, and the examples' weights of these by block, row and term."""
+        if self._columns is None:
+            n = np.diff(self.start).reshape(-1, self.blocks).sum(axis=1)
+            frequent = np.flatnonzero(n * DENSE >= max(1, len(self.ids)))
+            dense = np.zeros((self.blocks * self.block, len(frequent)))
+            for i, t in enumerate(frequent):
+                at = slice(self.start[t * self.blocks], self.start[(t + 1) * self.blocks])
+                dense[self.row[at], i] = self.weight[at]
+            self._columns = frequent, dense.reshape(self.blocks, self.block, len(frequent))
+        return self._columns
 
     def _scores(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray, out: np.ndarray) -> None:
         cells = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
@@ -89,6 +107,43 @@ class BlockMaxIndex:
         best = some[np.lexsort((self.ids[some], -np.round(score[some], 9)))][:k]
         return best, score[best], min(opened, len(order))
 
+    def search_many(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows and cosines as search() gives them, for each of the vectors; without: a row to leave out for each."""
+        frequent, dense = self._matrix()
+        n, m = len(self.ids), len(vectors)
+        q = np.zeros((m, len(self.most)))
+        for i, (t, w) in enumerate(vectors):
+            q[i, t] = w
+        bound, own = q @ self.most, q[:, frequent]
+        q[:, frequent] = 0
+        doc, term = np.nonzero(q)
+        begin, size = self.start[term * self.blocks], self.start[(term + 1) * self.blocks] - self.start[term * self.blocks]
+        at = np.repeat(begin - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum())) if len(doc) else np.empty(0, dtype=np.int64)
+        width = self.blocks * self.block
+        score = np.bincount(np.repeat(doc * width, size) + self.row[at], weights=np.repeat(q[doc, term], size) * self.weight[at], minlength=m * width).astype(np.float64, copy=False).reshape(m, width)
+        # a block not opened for a document leaves its rare terms' sums there: below the bound, so never among the best
+        order = np.argsort(-bound.sum(axis=0), kind="stable")
+        kth, opened, step = np.zeros(m), 0, max(4, self.blocks // 8)
+        while opened < self.blocks:
+            group = order[opened : opened + step]
+            highest = bound[:, group].max(axis=1)
+            need = np.flatnonzero((highest > 0) & (highest >= kth - 1e-9))
+            if len(need):
+                part = own[need] @ dense[group].reshape(len(group) * self.block, len(frequent)).T
+                score.reshape(m, self.blocks, self.block)[need[:, None], group[None, :]] += part.reshape(len(need), len(group), self.block)
+            opened += step
+            if without is not None:
+                score[np.arange(m), without] = 0
+            if n > k and len(need) and opened < self.blocks:
+                kth[need] = np.partition(score[need, :n], -k, axis=1)[:, -k]
+        out = []
+        least = np.partition(score[:, :n], -k, axis=1)[:, -k] if n > k else np.zeros(m)
+        for i in range(m):
+            some = np.flatnonzero((score[i, :n] > 0) & (score[i, :n] >= least[i] - 1e-8))
+            best = some[np.lexsort((self.ids[some], -np.round(score[i, some], 9)))][:k]
+            out.append((best, score[i, best]))
+        return out
+
 
 class Model:
     """A fitted classifier: vocabulary, index, labels and the calibration."""
@@ -120,7 +175,11 @@ class Model:
         self.prior = float(prior)
         if 0 < y.sum() < n:
             own = [j for j in range(n) if not none[j]]
-            x = np.array([self.vote(*vectors[self.index.order[j]], without=j)[0] for j in own])
+            x = np.array([])
+            for i in range(0, len(own), BATCH):
+                some = own[i : i + BATCH]
+                found = self.index.search_many([vectors[self.index.order[j]] for j in some], self.k, np.array(some))
+                x = np.append(x, [self.vote(*f) for f in found])
             if len(own) and 0 < self.label[own].sum() < len(own):
                 self.curve = fit_logistic(self.feature(x), self.label[own], w[own] / w[own].mean())
 
@@ -136,21 +195,30 @@ class Model:
         p = np.clip(share, 1e-3, 1 - 1e-3)
         return np.log(p / (1 - p))[:, None]
 
-    def vote(self, terms: np.ndarray, q: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        rows, cosines, _ = self.index.search(terms, q, self.k, without)
+    def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         weight = cosines**2 * self.weight[rows]
         # half a vote of the prior: few or far neighbours say little
         a, b = (weight * self.label[rows]).sum(), weight.sum()
         unit = 0.05 * self.weight.mean()
-        return float((a + unit * self.prior) / (b + unit)), rows, cosines
+        return float((a + unit * self.prior) / (b + unit))
 
     def score(self, counts: dict[bytes, int]) -> tuple[float, list[tuple[int, int, float]]]:
         """Probability of label 1, and as evidence the three nearest examples: (doc_id, label, cosine)."""
-        if not counts or self.curve is None:
-            return self.empty, []
-        share, rows, cosines = self.vote(*self.vector(counts))
-        p = float(logistic(self.feature(np.array([share])), self.curve)[0])
-        return p, [(int(self.index.ids[r]), int(self.label[r]), float(c)) for r, c in zip(rows[:3], cosines[:3], strict=True)]
+        return self.score_many([counts])[0]
+
+    def score_many(self, counts: list[dict[bytes, int]]) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        """As score(), for each of the counts."""
+        out = [(self.empty, [])] * len(counts)
+        if self.curve is None:
+            return out
+        some = [i for i, c in enumerate(counts) if c]
+        for at in range(0, len(some), BATCH):
+            part = some[at : at + BATCH]
+            found = self.index.search_many([self.vector(counts[i]) for i in part], self.k)
+            p = logistic(self.feature(np.array([self.vote(*f) for f in found])), self.curve)
+            for i, x, (rows, cosines) in zip(part, p, found, strict=True):
+                out[i] = float(x), [(int(self.index.ids[r]), int(self.label[r]), float(c)) for r, c in zip(rows[:3], cosines[:3], strict=True)]
+        return out
 
     def counts(self, text: str | None) -> dict[bytes, int]:
         known = self.vocabulary
@@ -182,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     terms = (
         counted.select("y", F.explode(F.map_keys("counts")).alias("term")).groupBy("term")
         .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a + b >= 3")
-        .withColumn("x", chi_squared(F.col("a"), F.col("b"), n1, n0)).where(F.col("x") >= max(chi2, EFFECT * (n1 + n0)))
+        .withColumn("x", chi_squared(F.col("a"), F.col("b"), n1, n0)).where(F.col("x") >= chi2)
         .orderBy(F.desc("x"), "term").limit(max_terms)
     )
     vocabulary = sorted(bytes(r["term"]) for r in terms.select("term").collect())
@@ -204,17 +272,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m, memo = sent.value, {}
         for part in slices(batches):
-            scores, found = [], []
-            for t in part.column("text").to_pylist():
-                c = m.counts(t)
-                key = frozenset(c.items())
-                if key not in memo:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    memo[key] = m.score(c)
-                p, e = memo[key]
-                scores.append(p)
-                found.append([{"doc_id": d, "label": y, "cosine": s} for d, y, s in e])
+            counts = [m.counts(t) for t in part.column("text").to_pylist()]
+            keys = [frozenset(c.items()) for c in counts]
+            if len(memo) > 50_000:
+                memo.clear()
+            new = {key: c for key, c in zip(keys, counts, strict=True) if key not in memo}
+            memo |= zip(new, m.score_many(list(new.values())), strict=True)
+            scores = [memo[key][0] for key in keys]
+            found = [[{"doc_id": d, "label": y, "cosine": s} for d, y, s in memo[key][1]] for key in keys]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(found, evidence)], names=[*part.schema.names, "score", "evidence"])
 
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
