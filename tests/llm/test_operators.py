@@ -298,3 +298,11 @@ def test_licenses(spark):
     assert got[2] == [] and {x["name"] for x in got[3]} == {"MIT"}
     assert [x["name"] for x in got[4]] == ["GPL-3.0"] and 0.8 <= got[4][0]["coverage"] < 1
     assert all(got[k] == [] for k, _ in ODD)
+
+
+@pytest.mark.parametrize(("text", "between", "copies"), [("Released under the MIT License.", "\n", 1000), ("Released under the MIT License.", " one two three ", 2), ("Licensed under the Apache License, Version 2.0", "\n", 40)])
+def test_each_copy_of_a_notice_is_a_span(text, between, copies):
+    found = licenses.Index(licenses.TEMPLATES).scan(between.join([text] * copies))
+    words, gap = len(decontaminate.words(text)), len(between.split())
+    assert [(a, b) for _, _, a, b in found] == [(i * (words + gap), i * (words + gap) + words) for i in range(copies)]
+    assert {c for _, c, _, _ in found} == {1.0}

@@ -4,6 +4,8 @@ A template's words are hashed in runs of GRAM, and of each WINDOW neighbouring r
 so any WINDOW + GRAM - 1 words in a row that a text shares with a template hold a kept fingerprint. The inverted index
 of these is small and broadcast. A text's runs probe it; hits on neighbouring diagonals make a candidate, and a local
 alignment within BAND of the candidate's diagonals gives the matched words, the coverage of the template and the span.
+Then the words before and after the span are aligned again, until no alignment reaches the coverage. Long runs of
+diagonals are cut into overlapping windows; an alignment drifts by less than two templates' lengths, so one window holds it.
 
 Templates are a parameter: name -> text; the built-in ones are short notices. Defined results: a null or empty text has
 no matches; repeated rows are scanned one by one; of overlapping matches the one of higher coverage, then more words,
@@ -13,6 +15,7 @@ then the name that comes first, stays.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -77,13 +80,13 @@ class Index:
                         out.setdefault(t, []).append((int(at), p))
         return out
 
-    def align(self, t: int, ids: list[int], low: int, high: int) -> tuple[int, int, int]:
-        """Matched words and the span (start, end) of the best local alignment within diagonals low to high."""
-        key = (t, tuple(ids), low, high)
+    def align(self, t: int, ids: list[int], low: int, high: int, need: float = 0) -> tuple[int, int, int]:
+        """Matched words and the span (start, end) of the best local alignment within diagonals low to high, one of need words if any."""
+        key = (t, tuple(ids), low, high, need)
         if key not in self.memo:
             if len(self.memo) > 20_000:
                 self.memo.clear()
-            template, best = self.texts[t], (0, 0, 0, 0)
+            template, best = self.texts[t], (False, 0, 0, 0, 0)
             row: dict[int, tuple[int, int, int]] = {}
             for i, x in enumerate(template):
                 new: dict[int, tuple[int, int, int]] = {}
@@ -95,9 +98,9 @@ class Index:
                             cell = (old[0] - 1, old[1], old[2])
                     if cell[0] > 0:
                         new[j] = cell
-                        best = max(best, (cell[0], cell[1], -cell[2], j + 1))
+                        best = max(best, (cell[1] >= need, cell[0], cell[1], -cell[2], j + 1))
                 row = new
-            self.memo[key] = (best[1], -best[2], best[3])
+            self.memo[key] = (best[2], -best[3], best[4])
         return self.memo[key]
 
     def scan(self, text: str | None, coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
@@ -105,7 +108,7 @@ class Index:
         ws = words(text)
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in ws), dtype=np.int64, count=len(ws))
-        found = []
+        found = set()
         for t, hits in self.candidates(ids).items():
             size = len(self.texts[t])
             diagonals: list[list[int]] = []
@@ -114,15 +117,23 @@ class Index:
                     diagonals[-1][1] = d
                 else:
                     diagonals.append([d, d])
-            for low, high in diagonals:
-                begin, end = max(0, low - BAND), min(len(ids), high + size + BAND)
-                matched, a, b = self.align(t, ids[begin:end].tolist(), low - BAND - begin, high + BAND - begin)
-                if matched >= coverage * size:
-                    found.append((matched / size, matched, self.names[t], begin + a, begin + b))
+            for first, last in diagonals:
+                for low in range(first, max(first, last - 3 * size) + size, size):
+                    high = min(last, low + 3 * size)
+                    left = [(max(0, low - BAND), min(len(ids), high + size + BAND))]
+                    while left:
+                        begin, end = left.pop()
+                        if end - begin < coverage * size:
+                            continue
+                        matched, a, b = self.align(t, ids[begin:end].tolist(), low - BAND - begin, high + BAND - begin, coverage * size)
+                        if matched and matched >= coverage * size:
+                            found.add((matched / size, matched, self.names[t], begin + a, begin + b))
+                            left += [(begin, begin + a), (begin + b, end)]
         kept: list = []
         for c, m, name, a, b in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
-            if all(b <= x[2] or x[3] <= a for x in kept):
-                kept.append((name, c, a, b))
+            i = bisect_left(kept, a, key=lambda x: x[2])
+            if (i == 0 or kept[i - 1][3] <= a) and (i == len(kept) or b <= kept[i][2]):
+                kept.insert(i, (name, c, a, b))
         return sorted(kept, key=lambda x: (x[2], x[3]))
 
 
