@@ -306,3 +306,23 @@ def test_each_copy_of_a_notice_is_a_span(text, between, copies):
     words, gap = len(decontaminate.words(text)), len(between.split())
     assert [(a, b) for _, _, a, b in found] == [(i * (words + gap), i * (words + gap) + words) for i in range(copies)]
     assert {c for _, c, _, _ in found} == {1.0}
+
+
+def test_altered_notices_keep_a_fingerprint():
+    index = licenses.Index(licenses.TEMPLATES)
+    assert [x[:2] for x in index.scan("Released under an MIT License")] == [("MIT", 0.8)]
+    for t, (name, ids) in enumerate(zip(index.names, index.texts, strict=True)):
+        plain = [w.decode() for w in decontaminate.words(licenses.TEMPLATES[name])]
+        lost = len(ids) - next(m for m in range(len(ids) + 1) if m >= 0.8 * len(ids))
+        rng = random.Random(t)
+        altered = [[*plain[:i], "zz", *plain[i:]] for i in range(1, len(plain))]
+        for _ in range(200):
+            drop = set(rng.sample(range(len(plain)), rng.randint(0, lost)))
+            altered.append([x for i, w in enumerate(plain) for x in ([rng.choice(["zz", ""])] if i in drop else [w])])
+        for ws in altered:
+            text = " ".join(["before", "it", *ws, "after", "it"])
+            got = [index.vocabulary.get(w, -1) for w in decontaminate.words(text)]
+            matched, a, b = index.align(t, got, -len(got), len(got), 0.8 * len(ids))
+            found = [x for x in index.scan(text) if x[0] == name]
+            assert (matched >= 0.8 * len(ids)) == bool(found)
+            assert not found or found == [(name, matched / len(ids), a, b)]

@@ -1,9 +1,10 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment measures them.
+"""License scans: rare words pick candidates, banded alignment measures them.
 
-A template's words are hashed in runs of GRAM, and of each WINDOW neighbouring runs the least hash is kept (winnowing),
-so any WINDOW + GRAM - 1 words in a row that a text shares with a template hold a kept fingerprint. The inverted index
-of these is small and broadcast. A text's runs probe it; hits on neighbouring diagonals make a candidate, and a local
-alignment within BAND of the candidate's diagonals gives the matched words, the coverage of the template and the span.
+Of a template's words, a text that reaches the coverage lacks some number at most; one word more than that, the longest,
+are its fingerprints, so that such a text holds at least one of them in its place. The inverted index of these is small
+and broadcast. A text's words probe it; hits on neighbouring diagonals make a candidate, which goes on if enough of the
+template's words stand near, and a local alignment within BAND of the candidate's diagonals gives the matched words, the
+coverage of the template and the span.
 Then the words before and after the span are aligned again, until no alignment reaches the coverage. Long runs of
 diagonals are cut into overlapping windows; an alignment drifts by less than two templates' lengths, so one window holds it.
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from textwarden.llm.common import slices, words
 
-GRAM, WINDOW, BAND, COVERAGE = 3, 2, 8, 0.8
+BAND, COVERAGE = 8, 0.8
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
 # Short notices by which works state their license.
@@ -39,45 +40,38 @@ TEMPLATES = {
 
 
 class Index:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.names = sorted(n for n in templates if words(templates[n]))
         self.vocabulary: dict[bytes, int] = {}
         self.texts = [[self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(templates[n])] for n in self.names]
-        found: dict[int, list[tuple[int, int]]] = {}
+        spelt = list(self.vocabulary)
+        self.coverage = coverage
+        self.postings: dict[int, list[tuple[int, int]]] = {}
+        self.holds = np.zeros((len(self.texts), len(spelt) + 1), dtype=bool)
         for t, ids in enumerate(self.texts):
-            k = min(GRAM, len(ids))
-            grams = [self._hash(np.array(ids[i : i + k])) for i in range(len(ids) - k + 1)]
-            kept = {min(range(i, min(i + WINDOW, len(grams))), key=lambda j: (grams[j], j)) for i in range(max(1, len(grams) - WINDOW + 1))}
-            for i in kept:
-                found.setdefault(grams[i], []).append((t, i))
-        self.hashes = np.array(sorted(found), dtype=np.int64)
-        self.postings = [found[h] for h in self.hashes.tolist()]
-        self.lengths = sorted({min(GRAM, len(x)) for x in self.texts})
+            self.holds[t, ids] = True
+            lacking = sum(m >= coverage * len(ids) for m in range(len(ids)))
+            for i in sorted(range(len(ids)), key=lambda j: (-len(spelt[ids[j]]), j))[: lacking + 1]:
+                self.postings.setdefault(ids[i], []).append((t, i))
+        self.marked = np.zeros(len(spelt) + 1, dtype=bool)
+        self.marked[list(self.postings)] = True
         self.memo: dict = {}
 
-    @staticmethod
-    def _hash(ids: np.ndarray) -> int:
-        h = 7 + len(ids)
-        for x in ids.tolist():
-            h = (h * 1_000_003 + x + 1) & 0x7FFFFFFFFFFFFFF
-        return h
-
     def candidates(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """By template: (place in the text, place in the template) of the hits."""
         out: dict[int, list[tuple[int, int]]] = {}
-        known = ids >= 0
-        for k in self.lengths:
-            if len(ids) < k:
-                continue
-            ok = np.ones(len(ids) - k + 1, dtype=bool)
-            for i in range(k):
-                ok &= known[i : len(ids) - k + 1 + i]
-            for at in np.flatnonzero(ok):
-                h = self._hash(ids[at : at + k])
-                j = int(np.searchsorted(self.hashes, h))
-                if j < len(self.hashes) and self.hashes[j] == h:
-                    for t, p in self.postings[j]:
-                        out.setdefault(t, []).append((int(at), p))
+        for at in np.flatnonzero(self.marked[ids]).tolist():
+            for t, p in self.postings[int(ids[at])]:
+                out.setdefault(t, []).append((at, p))
+        for t in list(out):
+            # an alignment of a score above 0 is shorter than three templates
+            reach = 3 * len(self.texts[t])
+            total = np.concatenate(([0], np.cumsum(self.holds[t][ids])))
+            near = [(a, p) for a, p in out[t] if total[min(len(ids), a + reach)] - total[max(0, a - reach)] >= self.coverage * len(self.texts[t])]
+            if near:
+                out[t] = near
+            else:
+                del out[t]
         return out
 
     def align(self, t: int, ids: list[int], low: int, high: int, need: float = 0) -> tuple[int, int, int]:
@@ -103,9 +97,9 @@ class Index:
             self.memo[key] = (best[2], -best[3], best[4])
         return self.memo[key]
 
-    def scan(self, text: str | None, coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
+    def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(name, coverage, first word, end word), in order of place."""
-        ws = words(text)
+        ws, coverage = words(text), self.coverage
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in ws), dtype=np.int64, count=len(ws))
         found = set()
@@ -143,11 +137,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     kind = pa.list_(pa.struct([("name", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        index = Index(sent.value)
+        index = Index(sent.value, coverage)
         for part in slices(batches):
             out = []
             for t in part.column("text").to_pylist():
-                found = index.scan(t, coverage)
+                found = index.scan(t)
                 at = [m.span() for m in _WORD.finditer(t)] if found else []
                 out.append([{"name": n, "coverage": c, "start": at[a][0], "end": at[b - 1][1]} for n, c, a, b in found])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, kind)], names=["doc_id", "licenses"])
