@@ -326,3 +326,25 @@ def test_altered_notices_keep_a_fingerprint():
             found = [x for x in index.scan(text) if x[0] == name]
             assert (matched >= 0.8 * len(ids)) == bool(found)
             assert not found or found == [(name, matched / len(ids), a, b)]
+
+
+def test_a_long_document_shuts_out_no_other(spark):
+    ids = [r["id"] for r in spark.range(120).orderBy(F.xxhash64("id", F.lit(29))).collect()]
+    first = next(i for i in ids if i % 2)
+    rng = random.Random(6)
+    good, bad = [f"river{i} stone" for i in range(90)], [f"click{i} buy" for i in range(90)]
+    texts = {i: " ".join(rng.choices(good if i % 2 else bad, k=9000 if i == first else 60)) for i in ids}
+    labels = frame(spark, [(i, i % 2) for i in ids], "doc_id long, quality int")
+    assert len(texts[first]) > 80_000
+    model = quality.train(frame(spark, texts.items()), labels, modulus=1000, remainder=999, sample_bytes=70_000)
+    assert model.curve is not None
+    assert model.score(" ".join(good)) > 0.7 > model.score(" ".join(bad))
+
+
+def test_long_texts_give_blocks_of_their_whole_length():
+    assert quality.longest([5, 100, 9], 34) == 20 and quality.longest([5, 9], 34) == 9 and quality.longest([], 3) == 0
+    raw = bytes(i % 251 for i in range(200_000))
+    part = quality.excerpt(raw, 20_000, 7)
+    assert 18_000 <= len(part) <= 20_000 and quality.excerpt(raw, len(raw), 7) == raw
+    at = [raw.find(part[i : i + quality.BLOCK]) for i in range(0, len(part), quality.BLOCK)]
+    assert all(x >= 0 for x in at)
