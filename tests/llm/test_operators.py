@@ -348,3 +348,19 @@ def test_long_texts_give_blocks_of_their_whole_length():
     assert 18_000 <= len(part) <= 20_000 and quality.excerpt(raw, len(raw), 7) == raw
     at = [raw.find(part[i : i + quality.BLOCK]) for i in range(0, len(part), quality.BLOCK)]
     assert all(x >= 0 for x in at)
+
+
+def test_words_after_are_contexts(spark):
+    rows = [(i, f"w{'abcdefgh'[i]} 10.0.0.{i} unreachable") for i in range(8)] + [(20, "host QX-99182-77 unreachable"), (21, "host QX-99182-78 fine")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(frame(spark, rows)).collect()}
+    assert got[20] == "ip:5:16" and got[21] == ""
+
+
+def test_neighbouring_identifiers_are_each_marked(spark):
+    rows = [(1, "id A1B2C3D D4E5F6G H7I8J9K"), (2, "at 10:30 password=9f2c11 8080"), (3, 'é k="A1B2C3" x'), (4, ""), (5, "A1B2C3\nD4E5F6")]
+    got = {r["doc_id"]: [(m["value"], list(m["contexts"])) for m in r["marks"]] for r in pii.located(frame(spark, rows)).collect()}
+    assert got[1] == [("A1B2C3D", ["after id", "before d4e5f6g"]), ("D4E5F6G", ["after a1b2c3d", "before h7i8j9k"]), ("H7I8J9K", ["after d4e5f6g"])]
+    assert got[2] == [("9f2c11", ["in password=", "after 10:30", "before 8080"])]
+    assert got[3] == [("A1B2C3", [])] and got[4] == [] and got[5] == [("A1B2C3", []), ("D4E5F6", [])]
+    for r in pii.located(frame(spark, rows)).collect():
+        assert all(rows[r["doc_id"] - 1][1][m["start"] : m["end"]] == m["value"] for m in r["marks"])

@@ -4,7 +4,8 @@ The base kinds are located by JVM regular expressions, with offsets in code poin
 a run starts (or where the last match ended), so a long run is read once and not from each of its characters.
 
 Bootstrapping: an identifier-like token (it holds a digit and at least MIN_TOKEN characters) stands in lexical contexts:
-the lead-in inside the token ('password=' in 'password=9f2c'), the word before it and the word after it. Base entities
+the lead-in inside the token ('password=' in 'password=9f2c'), the word before it and the word after it, a blank apart;
+either word may be a token itself. Base entities
 are the seeds, with belief 1. Each round scores the pattern-instance graph: a context's confidence is its instances'
 summed belief over their number plus SMOOTH, if it has SUPPORT different instances or more that are believed; an
 instance's belief is the largest confidence of its contexts. After ROUNDS, contexts of confidence ACCEPT or more
@@ -31,7 +32,8 @@ IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 ROUNDS, SUPPORT, SMOOTH, ACCEPT, MIN_TOKEN = 3, 3, 2.0, 0.5, 6
-TOKEN = r"[^\s\"'<>,;|]*[0-9][^\s\"'<>,;|]*"
+# Runs with a digit; from where a run starts, possessive.
+TOKEN = r"(?<![^\s\"'<>,;|])[^\s\"'<>,;|0-9]*+[0-9][^\s\"'<>,;|]*+"
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
@@ -74,24 +76,43 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _tokens(text: Column) -> Column:
+    """(start, end, value, left, right) of the tokens of MIN_TOKEN characters or more; left and right are the text from
+    the token before and up to the one after."""
+    between, found = F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    n, none = F.size(found), F.array(F.lit(""))
+    pairs = F.arrays_zip(
+        F.slice(between, 1, n).alias("gap"), found.alias("value"), F.slice(between, 2, n).alias("next_gap"),
+        F.slice(F.concat(none, found), 1, n).alias("last"), F.slice(F.concat(found, none), 2, n).alias("next"),
+    )
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>").alias("out"))
+
+    def add(acc, x):
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["value"])
+        token = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), F.concat(x["last"], x["gap"]).alias("left"), F.concat(x["next_gap"], x["next"]).alias("right"))
+        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= MIN_TOKEN, F.concat(acc["out"], F.array(token))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(pairs, zero, add, lambda acc: acc["out"])
+
+
+def _mark(x: Column) -> Column:
+    """The token without its lead-in, and its contexts."""
+    lead = F.regexp_extract(x["value"], r"^([A-Za-z_.-]{2,32}[=:])[^=:]", 1)
+    before, after = F.lower(F.regexp_extract(x["left"], r"(?<!\S)(\S++)[ ]$", 1)), F.lower(F.regexp_extract(x["right"], r"^[ ](\S++)", 1))
+    contexts = F.array(F.when(lead != "", F.concat(F.lit("in "), lead)), F.when(before != "", F.concat(F.lit("after "), before)), F.when(after != "", F.concat(F.lit("before "), after)))
+    value = F.substring(x["value"], F.length(lead) + 1, F.length(x["value"]))
+    return F.struct((x["start"] + F.length(lead)).alias("start"), x["end"].alias("end"), value.alias("value"), F.filter(contexts, lambda c: c.isNotNull()).alias("contexts"))
+
+
 def located(docs: DataFrame) -> DataFrame:
     """_row, doc_id, base (spans in order of kind and start) and marks: identifier-like tokens with their contexts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", text.alias("text")).withColumn("_digit", F.col("text").rlike("[0-9]"))
     for kind, spans in base_spans(F.col("text")).items():
         rows = rows.withColumn(f"_{kind}", spans)
-    near = rf"(?:[^\s]+[ ])?{TOKEN}"
-    tokens = F.filter(_pieces(F.col("text"), near), lambda x: F.length(F.regexp_extract(x["value"], rf"({TOKEN})$", 1)) >= MIN_TOKEN)
-
-    def mark(x):
-        token = F.regexp_extract(x["value"], rf"({TOKEN})$", 1)
-        lead = F.regexp_extract(token, r"^([A-Za-z_.-]{2,32}[=:])[^=:]", 1)
-        before = F.lower(F.trim(F.substring(x["value"], F.lit(1), F.length(x["value"]) - F.length(token))))
-        start = x["end"] - F.length(token) + F.length(lead)
-        return F.struct(start.alias("start"), x["end"].alias("end"), F.substring(token, F.length(lead) + 1, F.length(token)).alias("value"), F.filter(F.array(
-            F.when(lead != "", F.concat(F.lit("in "), lead)), F.when(before != "", F.concat(F.lit("after "), before))), lambda c: c.isNotNull()).alias("contexts"))
-
-    marks = F.when(F.col("_digit"), F.transform(tokens, mark)).otherwise(F.array()).cast("array<struct<start:int,end:int,value:string,contexts:array<string>>>")
+    marks = F.transform(_tokens(F.col("text")), _mark)
+    marks = F.when(F.col("_digit"), marks).otherwise(F.array()).cast("array<struct<start:int,end:int,value:string,contexts:array<string>>>")
     return rows.select("_row", "doc_id", F.concat(*[F.col(f"_{k}") for k in KINDS]).alias("base"), marks.alias("marks"))
 
 
