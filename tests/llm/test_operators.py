@@ -200,6 +200,46 @@ def test_vocabulary_does_not_shrink_with_the_sample(spark):
     assert model.score(model.counts("a rareslur here"))[0] >= 0.7 > model.score(model.counts("a kind text"))[0]
 
 
+@pytest.mark.parametrize("per_class", [40, 3000])
+def test_words_that_part_the_labels_wholly_give_high_scores(spark, per_class):
+    rows = [(i, f"plain words and w{i % 7} {('vile' if i % 4 == 1 else 'foul') if i % 2 else ''}") for i in range(400)]
+    model = toxicity.train(frame(spark, rows), frame(spark, [(i, i % 2) for i in range(400)], "doc_id long, toxic int"), per_class=per_class)
+    got = {t: model.score(model.counts(t)) for t in ("so vile", "foul foul words", "plain words", "", "vile " * 5000)}
+    assert got["so vile"][0] >= 0.7 and got["foul foul words"][0] >= 0.7 and got["vile " * 5000][0] >= 0.7
+    assert got["plain words"][0] < 0.1 and got[""][0] < 0.1
+    assert [y for _, y, _ in got["so vile"][1]] == [1, 1, 1]
+    one = toxicity.train(frame(spark, rows), frame(spark, [(i, 1) for i in range(400)], "doc_id long, toxic int"))
+    assert one.score(one.counts("so vile"))[0] > 0.9
+
+
+def test_scores_at_the_cap_of_the_sample(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text"), table(spark, "/root/testdata/sf0.1", "labels")
+    model = toxicity.train(docs, labels, per_class=300)
+    rows = toxicity.score(docs.where(held_out(F.col("doc_id"), 3, 1)), model).join(labels, "doc_id").select("score", "toxic").collect()
+    said = [r["toxic"] for r in rows if r["score"] >= 0.7]
+    assert len(said) > 60 and sum(said) / len(said) > 0.95
+
+
+def test_toxicity_against_dense_vectors(spark):
+    docs, labels = table(spark, DATA, "documents").select("doc_id", "text"), table(spark, DATA, "labels")
+    model = toxicity.train(docs, labels)
+    terms, n = model.vocabulary, len(model.label)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    dense = lambda t: np.array([(1 + np.log(c)) * model.idf[terms[w]] if (c := Counter(decontaminate.words(t))[w]) else 0.0 for w in sorted(terms)])
+    unit = lambda x: x / np.sqrt((x * x).sum()) if x.any() else x
+    known = np.array([unit(dense(text[int(d)])) for d in model.index.ids])
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for d in sorted(text)[::9]:
+        cosine = known @ unit(dense(text[d]))
+        best = [j for j in np.lexsort((model.index.ids, -np.round(cosine, 9))) if cosine[j] > 0][: model.k]
+        assert [(e["doc_id"], e["label"]) for e in got[d]["evidence"]] == [(int(model.index.ids[j]), int(model.label[j])) for j in best[:3]]
+        weight = cosine[best] ** 2 * model.weight[best]
+        unit_vote = 0.05 * model.weight.mean()
+        vote = ((weight * model.label[best]).sum() + unit_vote * model.prior) / (weight.sum() + unit_vote)
+        assert abs(got[d]["score"] - toxicity.logistic(model.feature(np.array([vote])), model.curve)[0]) < 1e-6
+    assert n == len(known)
+
+
 @pytest.mark.parametrize(("rows", "dense"), [(300, 1), (300, 32), (300, 10**6), (5, 32)])
 def test_batches_find_what_single_searches_find(monkeypatch, rows, dense):
     monkeypatch.setattr(toxicity, "DENSE", dense)

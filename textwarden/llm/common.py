@@ -41,14 +41,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds one text or at most about SLICE_CHARS."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds one text or at most about so many characters."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = np.asarray(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start, total = 0, 0
         for i, n in enumerate(sizes):
-            if total and total + n > SLICE_CHARS:
+            if total and total + n > chars:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += int(n)

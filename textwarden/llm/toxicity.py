@@ -1,20 +1,28 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Learning takes at most PER_CLASS labelled documents of each label (those with the smallest id hashes). Their words are
-counted in Spark; a word joins the vocabulary when it tells the labels apart (chi-squared of document frequencies at
-least CHI2, whatever the sample's size; MAX_TERMS at most). Within that vocabulary the cosine is exact. Examples stand
-in blocks of BLOCK; for each term and block the index keeps the largest weight, so that the sum over a document's terms
-bounds any score in the block. Blocks are opened in the order of their bounds until no unopened block can reach the K-th
-best score. Documents with different counts are searched BATCH at a time: frequent terms as a matrix, rare ones by list.
-
-The K nearest vote with their cosine squared as weight, each label's votes scaled back to its share of the labels.
-A logistic curve, fitted on the examples with each one's own row (and exact copies of it) left out, turns the vote into
-a probability; a document that holds none of the terms gets the smoothed rate of the examples that hold none.
+counted in Spark, and a word's weight is (1 + log tf) * idf * r, where r = max(0, 1 - CHI2 / x) shrinks it by how surely
+the word tells the labels apart (x is chi-squared of its document frequencies). CHI2 is the same for every sample; a word
+that says nothing passes it with a chance of 1 in 9,000, and then with a weight near 0. Words whose r is 0 add nothing to
+any product or length, so the index holds the others (at most MAX_TERMS, the bound of the model's size), and the cosine
+under these weights is exact. Without r, a text's ordinary words outweigh the few that matter, and toxic texts are missed
+(see the README).
+
+Examples stand in blocks of BLOCK; for each term and block the index keeps the largest weight, so that the sum over a
+document's terms bounds any score in the block. Blocks are opened in the order of their bounds until no unopened block
+can reach the K-th best score. Documents with different counts are searched BATCH at a time: frequent terms as a matrix,
+rare ones by list.
+
+The K nearest vote with their cosine squared as weight, each label's votes scaled back to its share of the labels; without
+a neighbour the vote is that share. A logistic curve, fitted on all examples with each one's own row left out, turns the
+vote into a probability. Its ridge keeps it finite where the words part the labels wholly.
 
 The model is a few MB at most, whatever the corpus, and is broadcast; documents are read in one pass without a shuffle.
 
-Defined results: a null or empty text has no terms; without usable labels every score is 0.5; repeated rows are scored
-one by one; ties between neighbours go to the smaller doc_id.
+Defined results: a null or empty text has no terms; without usable labels every score is 0.5, with labels of one kind
+only the smoothed share of label 1; repeated rows are scored one by one; ties between neighbours go to the smaller
+doc_id; an empty table gives no rows; columns named score or evidence are replaced, all others stay; very long texts are
+counted whole.
 """
 
 from __future__ import annotations
@@ -23,18 +31,21 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.llm.common import fit_logistic, labelled_sample, logistic, slices, words, written
 
 PER_CLASS = 3000
-MAX_TERMS = 4096
+MAX_TERMS = 16384
 CHI2 = 15.0
 BLOCK = 64
 BATCH = 256
 #: Terms that one example of so many holds, or more, are columns of a matrix; the rest stay lists.
 DENSE = 32
+#: Documents' counts whose results a task remembers, half a kB each.
+MEMORY = 20_000
 K = 15
 
 
@@ -148,7 +159,8 @@ class BlockMaxIndex:
 class Model:
     """A fitted classifier: vocabulary, index, labels and the calibration."""
 
-    def __init__(self, rows: list[tuple[int, int, dict[bytes, int]]], vocabulary: list[bytes], sizes: dict[int, int], k: int = K, block: int = BLOCK):
+    def __init__(self, rows: list[tuple[int, int, dict[bytes, int]]], factors: dict[bytes, float], sizes: dict[int, int], k: int = K, block: int = BLOCK):
+        vocabulary = sorted(factors)
         self.vocabulary = {t: i for i, t in enumerate(vocabulary)}
         self.k = k
         n = len(rows)
@@ -160,7 +172,7 @@ class Model:
         for _, _, counts in rows:
             for t in counts:
                 df[self.vocabulary[t]] += 1
-        self.idf = np.log((1 + n) / (1 + df)) + 1
+        self.idf = (np.log((1 + n) / (1 + df)) + 1) * np.array([factors[t] for t in vocabulary] or [1.0])
         ids = np.array([r[0] for r in rows], dtype=np.int64)
         y = np.array([r[1] for r in rows])
         vectors = [self.vector(counts) for _, _, counts in rows]
@@ -168,20 +180,17 @@ class Model:
         self.index = BlockMaxIndex(vectors, ids, max(1, len(vocabulary)), block)
         self.label = y[self.index.order]
         self.weight = np.array([share[int(c)] for c in self.label])
-        none = np.array([not len(vectors[j][0]) for j in self.index.order])
         w = self.weight
-        prior = ((w * self.label).sum() + 0.5) / (w.sum() + 1)
-        self.empty = float(((w * self.label)[none].sum() + prior) / (w[none].sum() + 1))
-        self.prior = float(prior)
+        self.prior = self.empty = float(((w * self.label).sum() + 0.5) / (w.sum() + 1))
         if 0 < y.sum() < n:
-            own = [j for j in range(n) if not none[j]]
-            x = np.array([])
+            x = np.full(n, self.prior)
+            own = [j for j in range(n) if len(vectors[self.index.order[j]][0])]
             for i in range(0, len(own), BATCH):
                 some = own[i : i + BATCH]
                 found = self.index.search_many([vectors[self.index.order[j]] for j in some], self.k, np.array(some))
-                x = np.append(x, [self.vote(*f) for f in found])
-            if len(own) and 0 < self.label[own].sum() < len(own):
-                self.curve = fit_logistic(self.feature(x), self.label[own], w[own] / w[own].mean())
+                x[some] = [self.vote(*f) for f in found]
+            self.curve = fit_logistic(self.feature(x), self.label, w / w.mean())
+            self.empty = float(logistic(self.feature(np.array([self.prior])), self.curve)[0])
 
     def vector(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.fromiter((self.vocabulary[t] for t in counts), dtype=np.int64, count=len(counts))
@@ -247,20 +256,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     n = {int(r["y"]): int(r["n"]) for r in counted.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     # at most max_terms words come to the driver, and then the examples' counts of these words only
-    terms = (
+    found = (
         counted.select("y", F.explode(F.map_keys("counts")).alias("term")).groupBy("term")
         .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a + b >= 3")
-        .withColumn("x", chi_squared(F.col("a"), F.col("b"), n1, n0)).where(F.col("x") >= chi2)
+        .withColumn("x", chi_squared(F.col("a"), F.col("b"), n1, n0)).where(F.col("x") > chi2)
         .orderBy(F.desc("x"), "term").limit(max_terms)
     )
-    vocabulary = sorted(bytes(r["term"]) for r in terms.select("term").collect())
-    known = F.broadcast(docs.sparkSession.createDataFrame([(bytearray(t),) for t in vocabulary], "term binary"))
+    factors = {bytes(r["term"]): 1 - chi2 / r["x"] for r in found.select("term", "x").collect()}
+    known = F.broadcast(docs.sparkSession.createDataFrame([(bytearray(t),) for t in factors], "term binary"))
     rows = (
         counted.select("doc_id", "y", F.explode_outer("counts").alias("term", "n")).join(known.withColumn("ours", F.lit(True)), "term", "left")
         .groupBy("doc_id", "y").agg(F.map_from_entries(F.collect_list(F.when(F.col("ours"), F.struct("term", "n")))).alias("counts"))
     )
     got = sorted((int(r["doc_id"]), int(r["y"]), {bytes(t): c for t, c in r["counts"].items()}) for r in rows.collect())
-    return Model(got, vocabulary, sizes, k)
+    return Model(got, factors, sizes, k)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -271,10 +280,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m, memo = sent.value, {}
-        for part in slices(batches):
+        for part in slices(batches, chars=1_000_000):
             counts = [m.counts(t) for t in part.column("text").to_pylist()]
-            keys = [frozenset(c.items()) for c in counts]
-            if len(memo) > 50_000:
+            keys = [xxhash.xxh3_128_digest(b"".join(b"%b %d " % x for x in sorted(c.items()))) for c in counts]
+            if len(memo) > MEMORY:
                 memo.clear()
             new = {key: c for key, c in zip(keys, counts, strict=True) if key not in memo}
             memo |= zip(new, m.score_many(list(new.values())), strict=True)
