@@ -302,10 +302,39 @@ def test_pieces_round_trip_and_best_sums(spark):
     rng = random.Random(1)
     units = ["▁" + "".join(rng.choices("thenaig▁é\t", k=rng.randint(1, 12))).replace("▁", "") for _ in range(300)]
     encoder([u[1:] for u in units])
-    assert all(v.scalar(u) == ids for u, ids in encoder.memo.items())
+    assert all(v.scalar(u) == np.frombuffer(ids, dtype="<i4").tolist() for u, ids in encoder.memo.items())
     assert got[90]["ids"] == [] and v.decode(list(got[1]["ids"])) == texts[0][1]
 
 
+def test_whole_texts_equal_the_scalar_rule(spark, monkeypatch):
+    v = pieces.Vocabulary(open(pieces.MODEL, "rb").read())
+    texts = [r["text"] for r in table(spark, DATA, "documents").where("doc_id % 25 = 0").collect()] + [t for _, t in ODD]
+    encoder = pieces.Encoder(v)
+    ids, at, same = encoder(texts)
+    want = [encoder.exact(pieces.marked(t)) for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want and all(same)
+    # a long text goes unit by unit, and what is remembered stays bounded
+    monkeypatch.setattr(pieces, "CHARS", 1000)
+    monkeypatch.setattr(pieces, "STEP", 50)
+    small = pieces.Encoder(v, memory=20_000)
+    for t, w in zip(texts, want, strict=True):
+        got, _, _ = small([t])
+        assert got.tolist() == w and small.held < 20_000 + 100 * 50 * (pieces._ENTRY + 100) and small.held <= 20_000 + len(t or "") * 400
+
+
+def test_wrong_ids_are_replaced_and_compared_again(monkeypatch):
+    v = pieces.Vocabulary(open(pieces.MODEL, "rb").read())
+    right = pieces.Vocabulary.viterbi
+    monkeypatch.setattr(pieces.Vocabulary, "viterbi", lambda self, units: [ids if "x" not in u else b"" for u, ids in zip(units, right(self, units), strict=True)])
+    encoder = pieces.Encoder(v)
+    texts = ["a fox ran", "", "no such", "▁ x", None]
+    ids, at, same = encoder(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [encoder.exact(pieces.marked(t)) for t in texts]
+    assert same == [True, True, True, False, True]
+    monkeypatch.setattr(pieces.Encoder, "exact", lambda self, t: [])
+    assert pieces.Encoder(v)(texts)[2] == [False, True, True, False, True]
+
+
 def test_token_counts_by_each_rule(spark):
     texts = [(1, "first line\n\n\nsecond  line é\n  x"), (2, "one"), *ODD]
     whole = {}

@@ -7,19 +7,24 @@ own library, and the ids can differ from these; decoded texts cannot.
 
 Blanks become U+2581 and one is put in front. No piece has U+2581 after another character, and none holds a newline
 (both are checked), so no piece crosses a run of U+2581 or a newline, and a text's best segmentation is that of its
-units joined. Each distinct unit is encoded once for a task (a bounded memory of them is kept). Units of one length
+units joined. A task remembers the units it has encoded, their ids packed, up to MEMORY bytes. Units of one length
 advance together: at each end position, the hashes of the substrings that end there (from prefix hashes) probe the
-sorted hashes of the pieces, the best sum is the vectorised maximum, and its length is the backpointer. Each encoded
-text is decoded and compared, and on a hash collision is encoded from the piece strings instead.
+sorted hashes of the pieces, the best sum is the vectorised maximum, and its length is the backpointer. The ids given
+out are decoded, by a gather of the pieces' bytes for many texts at once, and compared with the texts; a text that
+differs (a hash collision) is encoded from the piece strings instead, and decoded and compared again.
 
-Defined results: a null or empty text has no ids and decodes to ''; repeated rows are encoded one by one.
+Memory: texts are worked on in slices of CHARS characters, a longer text STEP units at a time.
+
+Defined results: a null or empty text has no ids and decodes to ''; repeated rows are encoded one by one; equal sums go
+to the longer last piece; an empty table gives no rows; columns named ids or round_trip are replaced, all others stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 from pathlib import Path
 
 import numpy as np
@@ -32,10 +37,13 @@ from textwarden.llm.common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 PENALTY = 10
-#: Distinct units that a task remembers.
-MEMORY = 400_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 22
+#: Bytes of units and their ids that a task remembers; characters of a slice; units of a long text that are encoded at once.
+MEMORY, CHARS, STEP = 64 << 20, 1_000_000, 50_000
+#: About what a remembered unit takes besides its characters and ids.
+_ENTRY = 190
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_BITS = 20
+_ID = np.dtype("<i4")
 
 
 class Vocabulary:
@@ -57,8 +65,7 @@ class Vocabulary:
             raise ValueError("the model must have a piece for each byte")
         if any(BLANK in self.text[i].lstrip(BLANK) or "\n" in self.text[i] for i in normal):
             raise ValueError("a piece crosses a blank or a newline")
-        # bytes of 128 and more stand as lone surrogates until a run of them is read
-        self.spell = [t if i not in self.byte_of else bytes((self.byte_of[i],)).decode("utf-8", "surrogateescape") for i, t in enumerate(self.text)]
+        self.spell = pa.array([bytes((self.byte_of[i],)) if i in self.byte_of else t.encode() for i, t in enumerate(self.text)], pa.large_binary())
         self.longest = max(len(self.text[i]) for i in normal)
         scores = np.array([sp.get_score(i) for i in normal])
         self.unknown = float(scores.min()) - PENALTY
@@ -72,23 +79,25 @@ class Vocabulary:
         self.hashes, self.ids, self.scores = hashes[order], np.array(normal, dtype=np.int32)[order], scores[order]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
-        self.maybe = np.zeros(1 << _BITS, dtype=bool)
-        self.maybe[(self.hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        # of each value of the first bits: whether a key has it, and where such keys begin among the sorted ones
+        bits = (self.hashes >> np.uint64(64 - _BITS)).astype(np.int64)
+        size = np.bincount(bits, minlength=1 << _BITS)
+        self.maybe, self.first, self.deepest = size > 0, np.cumsum(size) - size, int(size.max())
         self.exact = {self.text[i]: (i, s) for i, s in zip(self.ids.tolist(), self.scores.tolist(), strict=True)}
 
     def _hash(self, s: str) -> np.uint64:
         h = np.uint64(0)
         for c in s:
-            h = h * _BASE + np.uint64(ord(c) + 1)
+            h = h * _BASE + np.uint64(ord(c) + 1) * _SPREAD
         return h
 
-    def viterbi(self, units: list[str]) -> list[list[int]]:
-        """Ids of units of one length, which advance together."""
+    def viterbi(self, units: list[str]) -> list[bytes]:
+        """Ids, as 32-bit words, of units of one length, which advance together."""
         n, size = len(units), len(units[0])
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, size).T.astype(np.uint64)
         prefix = np.zeros((size + 1, n), dtype=np.uint64)
         for j in range(size):
-            prefix[j + 1] = prefix[j] * _BASE + codes[j] + np.uint64(1)
+            prefix[j + 1] = prefix[j] * _BASE + (codes[j] + np.uint64(1)) * _SPREAD
         best = np.zeros((size + 1, n))
         back = np.zeros((size + 1, n), dtype=np.int32)
         piece = np.full((size + 1, n), -1, dtype=np.int32)
@@ -100,8 +109,12 @@ class Vocabulary:
             which = np.full(h.shape, -1, dtype=np.int32)
             at = np.nonzero(self.maybe[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
             value = h[at]
-            k = np.minimum(np.searchsorted(self.hashes, value), len(self.hashes) - 1)
+            k = self.first[(value >> np.uint64(64 - _BITS)).astype(np.int64)]
             hit = self.hashes[k] == value
+            for _ in range(self.deepest - 1):
+                miss = np.flatnonzero(~hit)
+                k[miss] = np.minimum(k[miss] + 1, len(self.hashes) - 1)
+                hit[miss] = self.hashes[k[miss]] == value[miss]
             at, k = (at[0][hit], at[1][hit]), k[hit]
             total[at] = best[j - lengths[at[0]], at[1]] + self.scores[k]
             which[at] = self.ids[k]
@@ -119,9 +132,9 @@ class Vocabulary:
             at = at - np.where(at > 0, back[at, column], 0)
         rows = np.array(walked[::-1]).T
         if (rows < -2).any():
-            return [self._filled(r) for r in rows.tolist()]
+            return [np.array(self._filled(r), dtype=_ID).tobytes() for r in rows.tolist()]
         held = rows >= 0
-        flat, ends = rows[held].tolist(), np.cumsum(held.sum(axis=1)).tolist()
+        flat, ends = rows[held].astype(_ID).tobytes(), (4 * np.cumsum(held.sum(axis=1))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _filled(self, row: list[int]) -> list[int]:
@@ -134,14 +147,11 @@ class Vocabulary:
                 ids += [int(self.byte[b]) for b in chr(-3 - x).encode("utf-8", "surrogatepass")]
         return ids
 
-    def spelled(self, ids: list[int]) -> str:
-        """Pieces joined, with runs of byte pieces read as UTF-8."""
-        s = "".join(map(self.spell.__getitem__, ids))
-        try:
-            s.encode()
-            return s
-        except UnicodeEncodeError:
-            return s.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    def spelled(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The pieces' bytes joined, and where each piece starts (and the end)."""
+        got = self.spell.take(pa.array(ids))
+        at = np.frombuffer(got.buffers()[1], dtype=np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, dtype=np.int64)
+        return (got.buffers()[2].to_pybytes()[: at[-1]] if len(ids) else b""), at
 
     def scalar(self, unit: str) -> list[int]:
         """The same rule, one unit at a time, from the pieces' strings."""
@@ -159,7 +169,11 @@ class Vocabulary:
         return ids[::-1]
 
     def decode(self, ids: list[int]) -> str:
-        return self.spelled(ids).replace(BLANK, " ")[1:] if ids else ""
+        return self.spelled(np.array(ids, dtype=_ID))[0].decode("utf-8", "replace").replace(BLANK, " ")[1:]
+
+
+def marked(text: str | None) -> str:
+    return BLANK + text.replace(" ", BLANK) if text else ""
 
 
 class Encoder:
@@ -168,31 +182,78 @@ class Encoder:
     #: Units longer than this are advanced alone or nearly so: they are cut no further, memory stays in proportion.
     unit = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v, self.memo = vocabulary, {}
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self.unit.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        if len(self.memo) > MEMORY:
-            self.memo.clear()
-        memo = self.memo
-        by: dict[int, list[str]] = {}
-        for u in set().union(*split):
-            if u not in memo:
-                by.setdefault(len(u), []).append(u)
-        if "\n" in by.get(1, ()):
-            by[1].remove("\n")
-            memo["\n"] = self.v.viterbi(["\n"])[0]
-        for size, units in by.items():
-            step = max(1, 400_000 // (size * min(size, self.v.longest) + 1))
-            for i in range(0, len(units), step):
-                for u, ids in zip(units[i : i + step], self.v.viterbi(units[i : i + step]), strict=True):
-                    memo[u] = ids
-        return [list(chain.from_iterable(map(memo.__getitem__, us))) for us in split]
+    def __init__(self, vocabulary: Vocabulary, memory: int = MEMORY):
+        self.v, self.memory, self.memo, self.held = vocabulary, memory, {}, 0
+
+    def _learn(self, units: set[str]) -> None:
+        if self.held > self.memory:
+            self.memo, self.held = {}, 0
+        new = units - self.memo.keys()
+        if "\n" in new:
+            # alone, so that its byte piece does not slow the others down
+            new.remove("\n")
+            self._keep(["\n"])
+        for size, group in groupby(sorted(new, key=len), len):
+            some, step = list(group), max(1, 400_000 // (size * min(size, self.v.longest) + 1))
+            for i in range(0, len(some), step):
+                self._keep(some[i : i + step])
+
+    def _keep(self, units: list[str]) -> None:
+        ids = self.v.viterbi(units)
+        self.memo.update(zip(units, ids, strict=True))
+        self.held += sum(map(len, ids)) + len(units) * (_ENTRY + 2 * len(units[0]))
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of marked texts."""
+        if sum(map(len, texts)) <= 2 * CHARS:
+            split = [self.unit.findall(t) for t in texts]
+            self._learn(set().union(*split))
+            return [b"".join(map(self.memo.__getitem__, us)) for us in split]
+        out = []
+        for t in texts:
+            parts, units = [], (m.group() for m in self.unit.finditer(t))
+            while step := list(islice(units, STEP)):
+                self._learn(set(step))
+                parts.append(b"".join(map(self.memo.__getitem__, step)))
+            out.append(b"".join(parts))
+        return out
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """All texts' ids, where each text's begin (and the end), and whether they decode to the text."""
+        given = [marked(t) for t in texts]
+        packed = self._packed(given)
+        want = [t.encode("utf-8", "surrogatepass") for t in given]
+        ids, at = self._joined(packed)
+        got, starts = self.v.spelled(ids)
+        if got != b"".join(want) or (starts[at] != np.cumsum([0, *map(len, want)])).any():
+            for i, t in enumerate(given):
+                if got[starts[at[i]] : starts[at[i + 1]]] != want[i]:
+                    packed[i] = np.array(self.exact(t), dtype=_ID).tobytes()
+            ids, at = self._joined(packed)
+            got, starts = self.v.spelled(ids)
+        # a blank is what U+2581 decodes to, so a text that holds one itself comes back changed
+        plain = [got[starts[a] : starts[b]] == w for a, b, w in zip(at[:-1], at[1:], want, strict=True)]
+        return ids, at, [ok and BLANK not in (t or "") for ok, t in zip(plain, texts, strict=True)]
+
+    @staticmethod
+    def _joined(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(packed), dtype=_ID), np.cumsum([0, *(len(p) // 4 for p in packed)])
 
     def exact(self, text: str) -> list[int]:
-        """Without hashes."""
-        return [x for u in self.unit.findall(BLANK + text.replace(" ", BLANK)) for x in self.v.scalar(u)]
+        """Ids of a marked text without hashes."""
+        return [x for u in self.unit.findall(text) for x in self.v.scalar(u)]
+
+
+def _encoded(docs: DataFrame, model: str | bytes, schema: str, give: Callable) -> DataFrame:
+    """give(part, ids, starts, same): the record batch for a slice of rows."""
+    sent = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, bytes) else Path(model).read_bytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(Vocabulary(sent.value))
+        for part in slices(batches, chars=CHARS):
+            yield give(part, *encoder(part.column("text").to_pylist()))
+
+    return docs.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, model: str | bytes = MODEL) -> DataFrame:
@@ -202,36 +263,22 @@ def encode(docs: DataFrame, model: str | bytes = MODEL) -> DataFrame:
     itself decodes with a blank in its place, and round_trip says so.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("ids", "round_trip")])
-    sent = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, bytes) else Path(model).read_bytes())
 
-    def run(batches):
-        encoder = Encoder(Vocabulary(sent.value))
-        for part in slices(batches):
-            texts = part.column("text").to_pylist()
-            ids = encoder(texts)
-            for i, t in enumerate(texts):
-                if t and encoder.v.decode(ids[i]) != t.replace(BLANK, " "):
-                    ids[i] = encoder.exact(t)
-            # what decodes is the text, but for its own U+2581
-            same = [BLANK not in (t or "") for t in texts]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=[*part.schema.names, "ids", "round_trip"])
+    def give(part, ids, starts, same):
+        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
+        return pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(same, pa.bool_())], names=[*part.schema.names, "ids", "round_trip"])
 
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{base}, ids array<int>, round_trip boolean")
+    return _encoded(docs, model, f"{base}, ids array<int>, round_trip boolean", give)
 
 
 def digest(docs: DataFrame, model: str | bytes = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit words) and round_trip."""
-    encoded = encode(docs.select("doc_id", "text"), model)
 
-    def run(batches):
-        for part in batches:
-            at = part.column("ids")
-            flat, offsets = at.flatten().to_numpy(), np.asarray(at.offsets)
-            base = offsets[0]
-            lists = [flat[a - base : b - base] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            cols = [pa.array([len(x) for x in lists], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in lists])]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols, part.column("round_trip")], names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
+    def give(part, ids, starts, same):
+        hashes = [hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        cols = [part.column("doc_id"), pa.array(np.diff(starts), pa.int64()), pa.array(hashes, pa.string()), pa.array(same, pa.bool_())]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean")
+    return _encoded(docs.select("doc_id", "text"), model, f"doc_id {kind}, n_tokens long, ids_sha256 string, round_trip boolean", give)
