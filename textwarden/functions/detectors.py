@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textwarden.functions.spans import NONE, finding, luhn, mask, shannon, spans
+from textwarden.functions.spans import NONE, finding, let, luhn, mask, shannon, spans
 
 # Published key formats and the phrasings the engine looks for.
 SHAPES = {
@@ -41,10 +41,15 @@ BITS, ECHO_SPAN, ECHO_STRIDE = 3.6, 40, 8
 
 def secret_pattern(text: Column) -> Column:
     """Key shapes at high confidence; other runs of high entropy, at low, unless they begin within a key."""
-    shaped = F.flatten(F.array(*[_shape(text, label, p) for label, p in SHAPES.items()]))
-    runs = F.filter(spans(text, RUN), lambda s: ~F.exists(shaped, lambda c: (c["start"] <= s["start"]) & (s["start"] < c["end_pos"])) & (shannon(s["value"]) >= BITS))
-    loose = F.transform(runs, lambda s: finding("secret_pattern", s, mask(s["value"]), "low", F.format_string("%.2f bits a character over %d characters", shannon(s["value"]), F.length(s["value"]))))
-    return F.concat(shaped, loose.cast(NONE))
+    shaped = F.when(text.rlike("|".join(SHAPES.values())), F.flatten(F.array(*[_shape(text, label, p) for label, p in SHAPES.items()]))).otherwise(F.array()).cast(NONE)
+
+    def both(keys):
+        free = F.filter(spans(text, RUN), lambda s: ~F.exists(keys, lambda c: (c["start"] <= s["start"]) & (s["start"] < c["end_pos"])))
+        bits = F.transform(free, lambda s: F.struct(s.alias("s"), shannon(s["value"]).alias("bits")))
+        loose = F.transform(F.filter(bits, lambda x: x["bits"] >= BITS), lambda x: finding("secret_pattern", x["s"], mask(x["s"]["value"]), "low", F.format_string("%.2f bits a character over %d characters", x["bits"], F.length(x["s"]["value"]))))
+        return F.concat(keys, loose.cast(NONE))
+
+    return let(shaped, both)
 
 
 def _shape(text: Column, label: str, pattern: str) -> Column:
@@ -56,19 +61,20 @@ def pii_email(text: Column) -> Column:
 
 
 def pii_card(text: Column) -> Column:
-    kept = F.filter(spans(text, CARD), lambda s: luhn(s["value"]))
+    kept = F.filter(spans(text, "(?U)" + CARD), lambda s: luhn(s["value"]))
     return F.transform(kept, lambda s: finding("pii_card", s, mask(F.regexp_replace(s["value"], "[ -]", ""), 6), "high", "digits that pass the Luhn check")).cast(NONE)
 
 
 def _first_of_each(text: Column, patterns: tuple[str, ...], detector: str, confidence: str, note: str) -> Column:
     def one(p: str) -> Column:
-        p = "(?iu)" + p
+        p = "(?iuU)" + p
         value = F.regexp_extract(text, p, 0)
         start = F.length(F.element_at(F.split(text, p, 2), 1))
         s = F.struct(start.alias("start"), (start + F.length(value)).alias("end_pos"))
         return F.when(text.rlike(p), finding(detector, s, mask(value, 24), confidence, note))
 
-    return F.filter(F.array(*[one(p) for p in patterns]), lambda x: x.isNotNull()).cast(NONE)
+    found = F.filter(F.array(*[one(p) for p in patterns]), lambda x: x.isNotNull())
+    return F.when(text.rlike("(?iuU)" + "|".join(patterns)), found).otherwise(F.array()).cast(NONE)
 
 
 def injection_override(text: Column) -> Column:
@@ -79,17 +85,24 @@ def injection_exfiltration(text: Column) -> Column:
     return _first_of_each(text, EXFILTRATION, "injection_exfiltration", "high", "asks for the instructions")
 
 
+def _quoted(text: str) -> str:
+    return "".join(c if c.isalnum() or not c.isascii() else f"\\x{ord(c):02x}" for c in text)
+
+
 def system_prompt_echo(text: Column, prompt: str) -> Column:
-    """The first window of the prompt that the text holds, at its first place."""
-    found = []
-    for at in range(0, len(prompt) - ECHO_SPAN + 1, ECHO_STRIDE):
-        window = prompt[at : at + ECHO_SPAN]
-        start = F.instr(F.lower(text), window.lower()) - 1
-        s = F.struct(start.alias("start"), (start + ECHO_SPAN).alias("end_pos"))
-        found.append(F.when(start >= 0, finding("system_prompt_echo", s, mask(F.lit(window), 16), "high", f"{ECHO_SPAN} characters of the prompt from offset {at}")))
-    if not found:
+    """The first window of the prompt that the text holds in any case, at its first place."""
+    windows = [prompt[at : at + ECHO_SPAN] for at in range(0, len(prompt) - ECHO_SPAN + 1, ECHO_STRIDE)]
+    if not windows:
         return F.array().cast(NONE)
-    return F.filter(F.array(F.coalesce(*found)), lambda x: x.isNotNull()).cast(NONE)
+
+    def one(i: int, window: str) -> Column:
+        p = "(?iu)" + _quoted(window)
+        start, value = F.length(F.element_at(F.split(text, p, 2), 1)), F.regexp_extract(text, p, 0)
+        s = F.struct(start.alias("start"), (start + F.length(value)).alias("end_pos"))
+        return F.when(text.rlike(p), finding("system_prompt_echo", s, mask(value, 16), "high", f"{ECHO_SPAN} characters of the prompt from offset {i * ECHO_STRIDE}"))
+
+    found = F.array(F.coalesce(*[one(i, w) for i, w in enumerate(windows)]))
+    return F.when(text.rlike("(?iu)" + "|".join(map(_quoted, windows))), found).otherwise(F.array()).cast(NONE)
 
 
 def encoded_payload(text: Column, decoded: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,18 +11,62 @@ FINDING = "struct<detector:string,start:int,end_pos:int,excerpt:string,confidenc
 NONE = f"array<{FINDING}>"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end_pos, value) of all matches, leftmost and non-overlapping. The pattern must not match ''."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end_pos:int,value:string>>").alias("out"))
+SPANS = "array<struct<start:int,end_pos:int,value:string>>"
+#: Matches that are added up at once, and characters that are cut at once: long texts cost their length, not its square.
+STEP, BLOCK = 512, 4096
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def blocks(items: Column, size: int = STEP) -> Column:
+    """The array cut into arrays of so many elements; one empty array for an empty one."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / size).cast("int")), lambda b: F.slice(items, b * size + 1, size))
+
+
+def starts(gaps: Column, found: Column) -> Column:
+    """Offsets of the matches from the texts between and of them."""
+    lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(F.length(g).alias("g"), F.length(v).alias("v")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end_pos"), x["value"].alias("value")))).alias("out"))
+        return F.struct((acc["at"] + x["g"] + x["v"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["g"])).alias("out"))
+
+    def bases(parts):
+        return F.aggregate(parts, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    sums = let(lengths, lambda x: F.transform(blocks(x), lambda b: F.aggregate(b, zero, step)))
+    return let(sums, lambda parts: F.flatten(F.zip_with(parts, bases(parts), lambda x, base: F.transform(x["out"], lambda s: s + base))))
+
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:int,end_pos:int,value:string>>"))
+def spans(text: Column, pattern: str, guard: Column | None = None) -> Column:
+    """Array of (start, end_pos, value) of all matches, leftmost and non-overlapping. The pattern must not match ''.
+
+    guard: a condition that every text with a match meets and that is cheaper to test than the pattern.
+    """
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    located = let(both, lambda p: F.zip_with(starts(p["gaps"], p["found"]), p["found"], lambda s, v: F.struct(s.alias("start"), (s + F.length(v)).alias("end_pos"), v.alias("value"))))
+    return F.when(text.rlike(pattern) if guard is None else guard, located).otherwise(F.array()).cast(SPANS)
+
+
+def replaced(text: Column, marks: Column) -> Column:
+    """The text with each mark's span replaced by its value. marks: (start, end_pos, value), in order and disjoint."""
+
+    def block(part, b):
+        base = b * BLOCK
+
+        def cut(near):
+            upto = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.least(F.try_element_at(near, i)["end_pos"] - base, F.lit(BLOCK)))
+            kept = F.transform(near, lambda m, i: F.concat(
+                F.substring(part, upto(i) + 1, F.greatest(m["start"] - base - upto(i), F.lit(0))), F.when(m["start"] >= base, m["value"]).otherwise(F.lit(""))))
+            return F.concat(F.array_join(kept, ""), F.substring(part, upto(F.size(near)) + 1, F.lit(BLOCK)))
+
+        return let(F.filter(marks, lambda m: (m["end_pos"] > base) & (m["start"] < base + BLOCK)), cut)
+
+    parts = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    return F.when(F.size(marks) > 0, F.array_join(F.transform(parts, block), "")).otherwise(text)
 
 
 def mask(value: Column, keep: int = 4) -> Column:
@@ -37,10 +83,14 @@ def shannon(value: Column) -> Column:
     return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
 
+#: Decimal digits of every script, and the ASCII digit of each.
+DIGITS = [(c, str(unicodedata.decimal(c))) for c in map(chr, range(128, 0x10000)) if unicodedata.category(c) == "Nd"]
+
+
 def luhn(value: Column) -> Column:
     """Whether the digits, of which there must be twelve, pass the check."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    return (F.length(digits) >= 12) & F.call_function("luhn_check", digits)
+    plain = F.when(value.rlike(r"[^\x00-\x7F]"), F.translate(value, *("".join(x) for x in zip(*DIGITS, strict=True)))).otherwise(value)
+    return let(F.regexp_replace(plain, "[^0-9]", ""), lambda digits: (F.length(digits) >= 12) & F.call_function("luhn_check", digits))
 
 
 def finding(detector: str, s: Column, excerpt: Column, confidence: str, note: Column | str) -> Column:

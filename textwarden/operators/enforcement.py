@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions import detectors as D
+from textwarden.functions.spans import let, replaced
 from textwarden.operators.policy import DEFAULT, Policy
 
 #: A window must show the longest least match whole.
@@ -18,32 +19,40 @@ LONGEST = 64
 
 
 def redact(text: Column, found: Column) -> Column:
-    """Text with each finding's span replaced by its detector, from the right."""
-    order = F.reverse(F.array_sort(F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["end_pos"].alias("end_pos"), f["detector"].alias("detector")))))
-    return F.aggregate(order, text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit("[redacted:"), s["detector"], F.lit("]"), F.substring(t, s["end_pos"] + 1, F.length(t))))
+    """Text with each finding's span replaced by its detector; overlapping spans are spliced in from the right, one by one."""
+    marker = lambda s: F.concat(F.lit("[redacted:"), s["detector"], F.lit("]"))
+    order = F.array_sort(F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["end_pos"].alias("end_pos"), f["detector"].alias("detector"))))
+
+    def cut(spans):
+        disjoint = F.forall(F.zip_with(spans, F.slice(spans, 2, F.greatest(F.size(spans) - 1, F.lit(0))), lambda a, b: b.isNull() | (a["end_pos"] <= b["start"])), lambda ok: ok)
+        spliced = F.aggregate(F.reverse(spans), text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), marker(s), F.substring(t, s["end_pos"] + 1, F.length(t))))
+        return F.when(disjoint, replaced(text, F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end_pos"].alias("end_pos"), marker(s).alias("value"))))).otherwise(spliced)
+
+    return F.when(F.size(found) > 0, let(order, cut)).otherwise(text)
 
 
 def chunked(df: DataFrame, size: int = 6, text: str = "text") -> DataFrame:
-    """seq, chunk and chunk_end of fixed-size chunks; an empty text has none."""
-    n = F.ceil(F.length(text) / size).cast("int")
-    seq = F.when(F.length(text) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    out = df.withColumn("seq", F.explode(seq))
-    return out.withColumn("chunk", F.substring(F.col(text), F.col("seq") * size + 1, F.lit(size))).withColumn("chunk_end", F.least(F.col("seq") * size + size, F.length(text)))
+    """The other columns with seq, chunk and chunk_end of fixed-size chunks; an empty text has none. The text itself goes."""
+    others = [c for c in df.columns if c != text]
+    parts = F.regexp_extract_all(F.col(text), F.lit("(?s).{1,%d}" % size), F.lit(0))
+    return df.select(*others, F.posexplode(parts).alias("seq", "chunk")).withColumn("chunk_end", F.col("seq") * size + F.length("chunk"))
 
 
-def leak_curve(spans: DataFrame, chunks: DataFrame, lookbacks: DataFrame, key: str) -> DataFrame:
-    """leaked and first_emit for each response and lookback, in closed form.
+def leak_curve(spans: DataFrame, chunks: DataFrame, lookbacks: list[int] | DataFrame, key: str) -> DataFrame:
+    """leaked and first_emit for each response and lookback, in closed form: one grouping by response.
 
     spans: key, start, fires_at (the end of the shortest prefix in which the detector fires); chunks: key, chunk_end;
-    lookbacks: lookback. Holds for one blocking finding a response and no warm-up.
+    lookbacks: some numbers, or a table of them. Holds for one blocking finding a response and no warm-up.
     """
-    w = Window.partitionBy(key).orderBy("chunk_end")
-    ends = chunks.select(key, "chunk_end", F.lag("chunk_end", 1, 0).over(w).alias("before"))
-    cut = ends.join(spans, key).where(F.col("chunk_end") >= F.col("fires_at")).groupBy(key, "start", "fires_at").agg(F.min(F.struct("chunk_end", "before")).alias("_cut"))
-    grid = cut.crossJoin(F.broadcast(lookbacks))
-    leaked = F.greatest(F.lit(0), F.least(F.col("_cut.before") - F.col("lookback") - F.col("start"), F.col("fires_at") - F.col("start")))
-    first = grid.join(ends.select(key, "chunk_end"), key).where((F.col("chunk_end") < F.col("_cut.chunk_end")) & (F.col("chunk_end") > F.col("lookback"))).groupBy(key, "lookback").agg(F.min("chunk_end").alias("first_emit"))
-    return grid.select(key, "lookback", leaked.alias("leaked")).join(first, [key, "lookback"], "left")
+    looks = sorted({r["lookback"] for r in lookbacks.collect()} if isinstance(lookbacks, DataFrame) else set(lookbacks))
+    end, fires = F.col("chunk_end"), F.col("fires_at")
+    cut = chunks.select(key, "chunk_end").join(spans.select(key, "start", "fires_at"), key).groupBy(key, "start", "fires_at").agg(
+        F.min(F.when(end >= fires, end)).alias("_cut"), F.coalesce(F.max(F.when(end < fires, end)), F.lit(0)).alias("_before"),
+        F.array(*[F.struct(F.lit(x).alias("lookback"), F.min(F.when(end > x, end)).alias("first")) for x in looks]).alias("_grid"),
+    ).where(F.col("_cut").isNotNull())
+    grid = cut.select(key, "start", "fires_at", "_cut", "_before", F.explode("_grid").alias("g"))
+    leaked = F.greatest(F.lit(0), F.least(F.col("_before") - F.col("g.lookback") - F.col("start"), F.col("fires_at") - F.col("start")))
+    return grid.select(key, F.col("g.lookback").alias("lookback"), leaked.alias("leaked"), F.when(F.col("g.first") < F.col("_cut"), F.col("g.first")).alias("first_emit"))
 
 
 # ---- exact replay: the same detectors in Python, as a window's findings depend on what was released before
