@@ -54,7 +54,7 @@ def spans(text: Column, pattern: str, guard: Column | None = None) -> Column:
 def replaced(text: Column, marks: Column) -> Column:
     """The text with each mark's span replaced by its value. marks: (start, end_pos, value), in order and disjoint."""
 
-    def block(part, b):
+    def block(part, b, all_):
         base = b * BLOCK
 
         def cut(near):
@@ -63,10 +63,11 @@ def replaced(text: Column, marks: Column) -> Column:
                 F.substring(part, upto(i) + 1, F.greatest(m["start"] - base - upto(i), F.lit(0))), F.when(m["start"] >= base, m["value"]).otherwise(F.lit(""))))
             return F.concat(F.array_join(kept, ""), F.substring(part, upto(F.size(near)) + 1, F.lit(BLOCK)))
 
-        return let(F.filter(marks, lambda m: (m["end_pos"] > base) & (m["start"] < base + BLOCK)), cut)
+        return let(F.filter(all_, lambda m: (m["end_pos"] > base) & (m["start"] < base + BLOCK)), cut)
 
     parts = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
-    return F.when(F.size(marks) > 0, F.array_join(F.transform(parts, block), "")).otherwise(text)
+    # bound by let, as an expression within a lambda is evaluated for each element
+    return let(marks, lambda all_: F.when(F.size(all_) > 0, F.array_join(F.transform(parts, lambda part, b: block(part, b, all_)), "")).otherwise(text))
 
 
 def mask(value: Column, keep: int = 4) -> Column:
