@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -427,9 +428,101 @@ def test_words_after_are_contexts(spark):
 
 def test_neighbouring_identifiers_are_each_marked(spark):
     rows = [(1, "id A1B2C3D D4E5F6G H7I8J9K"), (2, "at 10:30 password=9f2c11 8080"), (3, 'é k="A1B2C3" x'), (4, ""), (5, "A1B2C3\nD4E5F6")]
-    got = {r["doc_id"]: [(m["value"], list(m["contexts"])) for m in r["marks"]] for r in pii.located(frame(spark, rows)).collect()}
+    got = {r["_in"]["doc_id"]: [(m["value"], list(m["contexts"])) for m in r["marks"]] for r in pii.located(frame(spark, rows)).collect()}
     assert got[1] == [("A1B2C3D", ["after id", "before d4e5f6g"]), ("D4E5F6G", ["after a1b2c3d", "before h7i8j9k"]), ("H7I8J9K", ["after d4e5f6g"])]
     assert got[2] == [("9f2c11", ["in password=", "after 10:30", "before 8080"])]
     assert got[3] == [("A1B2C3", [])] and got[4] == [] and got[5] == [("A1B2C3", []), ("D4E5F6", [])]
     for r in pii.located(frame(spark, rows)).collect():
-        assert all(rows[r["doc_id"] - 1][1][m["start"] : m["end"]] == m["value"] for m in r["marks"])
+        assert all(rows[r["_in"]["doc_id"] - 1][1][m["start"] : m["end"]] == m["value"] for m in r["marks"])
+
+
+def bootstrapped(texts):
+    """The definition of the added spans, for tests: id -> [(kind, start, end)]."""
+    token = re.compile(r"""(?<![^\s"'<>,;|])[^\s"'<>,;|]*[0-9@][^\s"'<>,;|]*""")
+    marks = {}
+    for d, text in texts.items():
+        base = base_spans(text)
+        all_, marks[d] = list(token.finditer(text)), []
+        for i, m in enumerate(all_):
+            if len(m.group()) < pii.MIN_TOKEN:
+                continue
+            left = text[all_[i - 1].start() if i else 0 : m.start()]
+            right = text[m.end() : all_[i + 1].end() if i + 1 < len(all_) else len(text)]
+            lead = (re.match(r"([A-Za-z_.-]{2,32}[=:])[^=:]", m.group()) or ["", ""])[1]
+            tail = len((re.search(r"[.:!?)\]}]+$", m.group()) or [""])[0])
+            value = m.group()[len(lead) :][: max(1, len(m.group()) - len(lead) - tail)]
+            name = lead[:-1] if lead else (re.search(r"""([A-Za-z_.-]{2,32})[ ]?[=:][ ]?["']?$""", left[-48:]) or ["", ""])[1]
+            before, after = re.search(r"(?<!\S)(\S+)[ ]$", left), re.match(r"[ ](\S+)", right)
+            contexts = [f"in {name.lower()}="] * bool(name) + ([f"after {before[1].lower()}"] if before else []) + ([f"before {after[1].lower()}"] if after else [])
+            if re.match("[A-Za-z]{4}", value) and len(value) >= 12:
+                contexts.append(" ".join(["form", value[:4], str(len(value)), *(c if re.search(f"[{c}]", value) else "" for c in ("a-z", "A-Z", "0-9", "_=+/.-"))]))
+            start = m.start() + len(lead)
+            seed = next((k for k in pii.KINDS for kind, a, b in base if kind == k and a < start + len(value) and b > start), None)
+            if seed is None and (re.match(pii.SECRET_NAMES, name) or re.match(pii.KEY_FORMATS, value)):
+                seed = "secret"
+            marks[d].append((start, start + len(value), value, contexts, seed))
+    kind = {}
+    for _, _, value, contexts, seed in (m for ms in marks.values() for m in ms):
+        for c in contexts:
+            kind[c, value] = max(kind.get((c, value)) or "", seed or "") or None
+    held = {}
+    for c, v in kind:
+        held.setdefault(c, []).append(v)
+    belief, confidence = {e: float(k is not None) for e, k in kind.items()}, {}
+    for _ in range(pii.ROUNDS):
+        new = {c: sum(belief[c, v] for v in vs) / (len(vs) + pii.SMOOTH) for c, vs in held.items() if sum(belief[c, v] > 0.25 for v in vs) >= pii.SUPPORT}
+        settled = confidence and all(x - confidence.get(c, 0) <= pii.SETTLED for c, x in new.items())
+        confidence = new
+        if settled:
+            break
+        best = {}
+        for c, v in kind:
+            best[v] = max(best.get(v, 0.0), confidence.get(c, 0.0))
+        belief = {(c, v): 1.0 if k else best[v] for (c, v), k in kind.items()}
+    kinds = (*pii.KINDS, "secret")
+    of = {}
+    for c, x in confidence.items():
+        if x >= pii.ACCEPT:
+            n = [sum(kind[c, v] == k for v in held[c]) for k in kinds]
+            of[c] = (x, kinds[n.index(max(n))] if max(n) else "other")
+    out = {}
+    for d, ms in marks.items():
+        got = [(a, b, max(of[c] for c in cs if c in of)[1] if seed is None else seed) for a, b, _, cs, seed in ms if seed == "secret" or seed is None and any(c in of for c in cs)]
+        out[d] = [(k, a, b) for a, b, k in sorted(got)]
+    return out
+
+
+def test_added_spans_equal_brute_force(spark):
+    rng = random.Random(12)
+    words_ = ["call", "host", "from", "the", "id:", "ref", "password=", "token", "=", "to"]
+    make = [lambda: f"10.0.{rng.randint(0, 9)}.{rng.randint(0, 99)}", lambda: f"u{rng.randint(0, 30)}@example.org", lambda: f"{rng.choice('QXZ')}{rng.choice('QXZ')}-{rng.randint(1000, 1400)}-{rng.randint(0, 9)}",
+            lambda: "AKIA" + "".join(rng.choices("ABC123", k=rng.choice([16, 16, 12]))), lambda: f"{rng.randint(100000, 100400)}.", lambda: "anna@home", lambda: '"' + "".join(rng.choices("abc123", k=10)) + '"']
+    texts = {1000 + i: " ".join(rng.choice(make)() if rng.random() < 0.4 else rng.choice(words_) for _ in range(rng.randint(0, 14))).replace("= ", "= " if rng.random() < 0.5 else "=") for i in range(400)}
+    want = bootstrapped(texts)
+    got = {r["doc_id"]: r for r in pii.report(frame(spark, [*texts.items(), *ODD])).collect()}
+    assert sum(map(len, want.values())) > 100 and len({k for ss in want.values() for k, _, _ in ss}) > 2
+    for d, text in texts.items():
+        order = sorted(base_spans(text) + want[d], key=lambda s: (pii.KINDS.index(s[0]) if s[0] in pii.KINDS else 9, s[1], s[2]))
+        assert got[d]["spans"] == ",".join("%s:%d:%d" % s for s in order), text
+        assert got[d]["n_found"] == len(want[d]) and got[d]["n_spans"] == len(order)
+
+
+def test_redaction_of_long_texts_and_clashing_columns(spark):
+    long = "".join(f"mail a{i}@x.org or 10.0.0.{i % 200}, é😀\n" for i in range(3000))
+    rows = [(1, "to a@b.c.d now", 14, 7, "s"), (2, None, None, 8, "t"), (3, "plain", 5, 9, "u"), (4, long, len(long), 10, "v"), (4, "+1 555 01 99 password=9f2c11zz, token = \"ab12cd34\".", 50, 11, None)]
+    docs = frame(spark, rows, "doc_id long, text string, n_chars int, _row int, `_in` string")
+    got = {r["_row"]: r for r in pii.redact(docs).collect()}
+    assert docs.columns == pii.redact(docs).columns and len(got) == 5
+    assert got[7]["text"] == "to [email] now" and got[7]["n_chars"] == len("to [email] now") and got[7]["_in"] == "s"
+    assert got[8]["text"] is None and got[9]["text"] == "plain"
+    assert got[10]["text"] == re.sub(r"10\.0\.0\.[0-9]+", "[ip]", re.sub(r"a[0-9]+@x\.org", "[email]", long))
+    assert got[11]["text"] == '[phone] password=[secret], token = "[secret]".'
+    assert pii.redact(docs.limit(0)).count() == 0 and pii.report(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["1 " + "é" * 1_000_000, "1.1.1.1 " + "7" * 1_000_000, "x1@y.z " * 60_000, "a" * 1_000_000 + "1"])
+def test_long_runs_are_read_in_linear_time(spark, text):
+    docs = frame(spark, [(1, text)])
+    start = time.perf_counter()
+    assert pii.located(docs).select(F.size("base").alias("n")).first()["n"] == (60_000 if "@" in text else int("." in text))
+    assert time.perf_counter() - start < 20
