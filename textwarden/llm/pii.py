@@ -125,11 +125,11 @@ def _seeded(marks: Column, base: Column) -> Column:
     return F.when(F.size(marks) > 0, F.flatten(F.transform(blocks(marks), part))).otherwise(marks)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """_row, _in (the columns of docs), base (spans in order of kind and start) and marks: identifier-like tokens with
+def located(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """_row, _in (the columns of docs, or those to keep), base (spans in order of kind and start) and marks: identifier-like tokens with
     their contexts, and the kind of those that are seeds."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_in"))
-    rows = rows.withColumn("_text", F.coalesce(F.col("_in.text"), F.lit("")))
+    columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*columns).alias("_in"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     rows = rows.select("*", F.concat(*base_spans(F.col("_text")).values()).alias("base"))
     marks = F.when(F.col("_text").rlike("[0-9@]"), F.transform(_tokens(F.col("_text")), _mark)).otherwise(F.array()).cast(f"array<{MARK}>")
     return rows.withColumn("marks", marks).select("_row", "_in", "base", _seeded(F.col("marks"), F.col("base")).alias("marks"))
@@ -167,9 +167,9 @@ def _matched(hits: DataFrame, accepted: DataFrame) -> DataFrame:
     return salted.join(accepted.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))), ["context", "_salt"]).drop("_salt")
 
 
-def extract(docs: DataFrame) -> DataFrame:
+def extract(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """_row, _in, base and more: the spans that seeds of secrets and accepted contexts add. A row for each row of docs."""
-    found = written(located(docs))
+    found = written(located(docs, keep))
     accepted = written(patterns(found))
     m = found.where(F.size("marks") > 0).select("_row", F.explode("marks").alias("m")).where(F.col("m.seed").isNull())
     hits = _matched(m.select("_row", "m.start", "m.end", "m.value", F.explode("m.contexts").alias("context")), accepted)
@@ -194,7 +194,7 @@ def _ordered(found: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of the base spans), base_sha256, spans, n_found (added spans), n_spans (all)."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return extract(docs.select("doc_id", "text")).select(
+    return extract(docs, ["doc_id"]).select(
         F.col("_in.doc_id").alias("doc_id"), *[count(k) for k in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(_ordered(F.concat("base", "more"))).alias("spans"), F.size("more").cast("long").alias("n_found"),
         (F.size("base") + F.size("more")).cast("long").alias("n_spans"),
