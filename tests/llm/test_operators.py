@@ -71,6 +71,66 @@ def test_texts_are_shuffled_when_too_many_are_looked_up(spark, monkeypatch):
     assert got == jaccard.brute_force(texts)
 
 
+@pytest.mark.parametrize("hot", [2, 6])
+def test_pages_of_a_template_and_their_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(400)]
+    template, sections = rng.choices(vocabulary, k=60), [rng.choices(vocabulary, k=9) for _ in range(3)]
+    texts = {}
+    for i in range(120):
+        own = sections[i % 3] + rng.choices(vocabulary, k=rng.choice([3, 20]))
+        texts[i] = " ".join([*template, *own])
+    for i in range(120, 170):
+        words = texts[rng.randint(0, 119)].split()
+        words[rng.randrange(60, len(words))] = f"x{i}"
+        texts[i] = " ".join(words)
+    texts |= {i: " ".join(rng.choices(vocabulary, k=70)) for i in range(170, 180)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, texts.items())).collect()}
+    want = jaccard.brute_force(texts)
+    assert got == want and 20 < len({c for _, c in want.values()}) < 175
+
+
+def test_nodes_that_share_too_few_keys_drop_out():
+    rng, sketcher = np.random.default_rng(4), jaccard.Sketcher()
+    for n in (6, 9, 20, 60, 300, 1500):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            lost = int(rng.integers(0, max(1, len(a) // 9)))
+            b = np.unique(np.concatenate([a[lost:], rng.integers(0, 1 << 63, lost, dtype=np.uint64)]))
+            if 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)) or np.array_equal(a, b):
+                continue
+            common = np.intersect1d(sketcher.keys(a), sketcher.keys(b))
+            shared = np.bincount((common & np.uint64(1)).astype(np.int64), minlength=2)
+            assert any(shared[p] >= max(sketcher.need(a)[p], sketcher.need(b)[p]) for p in (0, 1))
+
+
+def test_rows_keep_their_names_when_files_are_split_anew(spark, monkeypatch, tmp_path):
+    rng = random.Random(3)
+    base = [rng.choices([f"w{i}" for i in range(300)], k=60) for _ in range(40)]
+    rows = [(i, " ".join([*base[i % 40][:59], f"z{i}"]), i * 7, f"f{i}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, _row long, file string").repartition(3).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    want = jaccard.brute_force({r[0]: r[1] for r in rows})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    sets = jaccard._sets
+
+    def split_anew(*given):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(rng.choice([2000, 5000, 90_000])))
+        return sets(*given)
+
+    monkeypatch.setattr(jaccard, "_sets", split_anew)
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+        kept = jaccard.representatives(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {k: c for k, (_, c) in want.items()}
+    assert sorted(r["doc_id"] for r in kept) == sorted({c for _, c in want.values()})
+    assert all(r["_row"] == r["doc_id"] * 7 and r["file"] == f"f{r['doc_id']}" for r in kept)
+    assert jaccard.join(docs.limit(0)).count() == 0 == jaccard.representatives(docs.limit(0)).count()
+
+
 @pytest.mark.parametrize("block", [1 << 19, 64, 7])
 def test_shingles_do_not_depend_on_blocks(monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,53 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textwarden/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._textwarden_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that written() made and that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_textwarden_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            there = jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of the columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _scanned(docs: DataFrame) -> bool:
+    """Whether a table's files are read with nothing but columns and conditions on top, so that a row is named by its place."""
+    try:
+        node = docs._jdf.queryExecution().analyzed()
+        while node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View") and node.deterministic():
+            node = node.children().apply(0)
+        if node.nodeName() != "LogicalRelation" or "_metadata" in {c.lower() for c in docs.columns}:
+            return False
+        docs.select("_metadata.file_path", "_metadata.row_index").schema
+        return True
+    except (AttributeError, AnalysisException):
+        return False
+
+
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """docs with a column that names each row, by its file and its place in it: the same whenever and however the files are
+    read again, on whatever executors. What is not a plain scan of Parquet files is written first."""
+    if not _scanned(docs):
+        docs = written(docs)
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return docs.select("*", place.alias(name))
+
+
+ROW = "struct<file:bigint,at:bigint>"
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
