@@ -324,7 +324,7 @@ def test_neighbours(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0]), (None, x[1].tolist()), (5, x[5].tolist())]
     df = written(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = {}
-    for r in neighbours.search(df, df.where("vec_id % 50 = 0"), shard_rows=120, block_rows=3).orderBy("query_id", "rank").collect():
+    for r in neighbours.search(df, df.where("vec_id % 50 = 0"), shard_rows=120, pass_bytes=3 * 16 * 8).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     v = x.astype(np.float64)
     found = 0
@@ -337,6 +337,42 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 2, 8, 32])
+def test_recall_does_not_depend_on_shards(shards):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((40, 32))
+    x = centres[rng.integers(0, 40, 8000)] + 1.5 * rng.standard_normal((8000, 32))
+    ids, asked = np.arange(8000), np.arange(0, 8000, 100)
+    some = rng.choice(8000, 1500, replace=False)
+    known = neighbours.bounds(x[asked], asked, x[some], some, 5)
+    cosine = (x @ x.T) / np.sqrt((x * x).sum(1))[:, None] / np.sqrt((x * x).sum(1))[None, :]
+    near = {int(q): [] for q in asked}
+    verified = 0
+    for i in range(shards):
+        shard = neighbours.Shard(x[i::shards], ids[i::shards])
+        for q, b in zip(asked.tolist(), known, strict=True):
+            near[q] += shard.search(q, x[q], b)
+        verified += shard.verified
+    found = 0
+    for q, got in near.items():
+        best = [i for i in np.argsort(-cosine[q], kind="stable") if i != q][:5]
+        assert all(abs(s - cosine[q, v]) < 1e-12 for s, v in got)
+        found += len(set(best) & {v for _, v in sorted((-s, v) for s, v in got)[:5]})
+    assert found >= 0.95 * 5 * len(asked) and verified < 0.3 * len(x) * len(asked)
+
+
+def test_every_copy_is_a_neighbour_and_none_is_lost(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal(8)
+    rows = [(i, (base if i % 3 == 0 else rng.standard_normal(8)).tolist()) for i in range(300)]
+    df = written(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = neighbours.search(df, df.where("vec_id in (0, 150, 3)"), shard_rows=50).collect()
+    mine = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got)
+    assert mine == [(q, k + 1, v) for q in (0, 3, 150) for k, v in enumerate([x for x in (0, 3, 6, 9, 12, 15) if x != q][:5])]
+    few = neighbours.search(df.where("vec_id < 3"), df.where("vec_id = 0")).collect()
+    assert sorted(r["vec_id"] for r in few) == [1, 2]
+
+
 def test_sharding_is_even_and_stable(spark):
     a = sharding.lookup({f"s{i}": 1 for i in range(10)}, 1009)
     b = sharding.lookup({f"s{i}": 1 for i in range(9)}, 1009)
