@@ -28,7 +28,7 @@ def test_stages_against_brute_force(spark):
     items = {r["item_id"]: r["text"] for r in table(spark, DATA, "benchmark").collect()}
     hit = decontaminate.brute_force(single, items)
     left = rows(given["pii"])
-    assert set(left) == {k for k, (n, h, _) in hit.items() if h <= 1000 and h <= 0.5 * max(n, 1)}
+    assert set(left) == {k for k, (n, h, _) in hit.items() if h <= 0.5 * max(n, 1)}
     assert all(left[k] == single[k] for k in left if not hit[k][1])
     assert all(len(decontaminate.words(left[k])) == hit[k][0] - hit[k][1] for k in left)
     final = {r["doc_id"]: r for r in docs.collect()}

@@ -3,12 +3,15 @@
 The automaton accepts every run of words that some item holds. A document's words stream through it and the length of
 the longest match that ends at each word is tracked; where it reaches a window's length, the window's words are hit.
 Items are few and documents many, so the automaton is what travels: it is built on the driver from items whose words
-are counted first, at most MAX_WORDS an automaton. More items make more automata, each matched in a pass of its own
-over the documents, and the passes' hits are merged by row, so no bound on the benchmark is assumed.
+are counted first, at most MAX_WORDS an automaton. More items make more automata, one after another, each matched in a
+pass of its own over the documents whose hits are written; these are merged by row, so no bound on the benchmark is
+assumed and the driver holds one automaton at a time.
 
 Defined results: a null text has no words (0, 0, 0, sha256 of '', false); items without words have no windows; rows of
 `benchmark` that share an item_id count as one item; an item whose id is null marks words but is not counted; repeated
-documents are judged one by one; with an empty benchmark nothing is hit. Other columns are not looked at.
+documents are judged one by one; with an empty benchmark nothing is hit; an empty table gives no rows; very long texts are
+matched whole; windows that overlap or touch are one span. Other columns are not looked at, and come back as they were but
+for those named as the ones added.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import slices, words, written
+from textwarden.llm.common import fresh, slices, words, written
 
 WINDOW = 10
 #: Words that one automaton holds at most, unless a single item has more: some 100 MB of memory.
@@ -168,17 +171,17 @@ def _merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _automata(benchmark: DataFrame, window: int, max_words: int) -> Iterator[Automaton]:
-    """Reads the items group by group, so that the driver holds one automaton's worth of them."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text.alias("text")).distinct()
+def _groups(benchmark: DataFrame, max_words: int) -> tuple[DataFrame, int]:
+    """Distinct items, and how many automata they need."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
     # a word takes at least two characters, its separator included, so characters bound the words
     chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    groups = int(chars // (max_words * 2)) + 1
-    for g in range(groups):
-        part = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        rows = sorted(((r["item_id"], words(r["text"])) for r in part.toLocalIterator()), key=lambda r: (str(r[0]), r[1]))
-        yield Automaton(rows, window)
+    return items, int(chars // (max_words * 2)) + 1
+
+
+def _automaton(items: DataFrame, group: int, groups: int, window: int) -> Automaton:
+    part = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == group)
+    return Automaton(sorted(((r["item_id"], words(r["text"])) for r in part.toLocalIterator()), key=lambda r: (str(r[0]), r[1])), window)
 
 
 def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
@@ -189,12 +192,12 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words
     spark = docs.sparkSession
     mine = ("n_words", "hits", "items")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in mine])
-    automata = list(_automata(benchmark, window, max_words))
+    items, groups = _groups(benchmark, max_words)
     added = "n_words long, hits array<struct<start:int,end:int>>, items array<string>"
     schema = pa.schema([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
-    def one(df: DataFrame, automaton: Automaton, keep: bool) -> DataFrame:
-        sent = spark.sparkContext.broadcast(automaton)
+    def one(df: DataFrame, group: int, keep: bool) -> DataFrame:
+        sent = spark.sparkContext.broadcast(_automaton(items, group, groups, window))
 
         def run(batches):
             found = sent.value
@@ -212,16 +215,22 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words
                 yield pa.RecordBatch.from_arrays([*old, *new], names=[*names, *schema.names])
 
         base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if keep or f.name != "text")
-        return df.mapInArrow(run, f"{base}, {added}")
-
-    if len(automata) == 1:
-        return one(docs, automata[0], True)
-    # several automata: rows get a key, each automaton a pass, and what the passes hit is merged by key
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    passes = [one(keyed.select("_row", "text"), a, False) for a in automata]
-    union = passes[0]
-    for p in passes[1:]:
-        union = union.unionByName(p)
+        out = df.mapInArrow(run, f"{base}, {added}")
+        if keep:
+            return out
+        out = written(out)
+        sent.destroy()
+        return out
+
+    if groups == 1:
+        return one(docs, 0, True)
+    # several automata: rows are numbered once, each automaton has a pass, and what the passes hit is merged by number
+    row = fresh([*docs.columns, *mine], "_row")
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    union = None
+    for g in range(groups):
+        one_pass = one(keyed.select(F.col(row).alias("_row"), "text"), g, False)
+        union = one_pass if union is None else union.unionByName(one_pass)
     both = union.groupBy("_row").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -235,7 +244,7 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words
                 F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return keyed.join(both.withColumn("hits", merged), "_row").drop("_row")
+    return keyed.join(both.withColumn("hits", merged).withColumnRenamed("_row", row), row).drop(row)
 
 
 def _n_hit():
@@ -251,16 +260,16 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_hit: int = 1000, max_coverage: float = 0.5) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """docs without the hit spans: each is cut from its first word's start to its last word's end.
 
-    A document with more than max_hit hit words, or with more than max_coverage of its words hit, goes as a whole.
-    n_chars, where docs have it, follows the new text. Clean documents come back as they are.
+    A document with more than max_coverage of its words hit goes as a whole. n_chars, where docs have it, follows the new
+    text. Clean documents come back as they are, and so do all columns but these two.
     """
     names = docs.columns
-    kept = match(docs, benchmark, window)
-    n_hit = _n_hit()
-    kept = kept.where((n_hit <= max_hit) & (n_hit <= F.lit(float(max_coverage)) * F.greatest(F.col("n_words"), F.lit(1))))
+    own = {c: fresh([*names, "n_words", "hits", "items"], f"_in_{c}") for c in names if c.lower() in ("n_words", "hits", "items")}
+    kept = match(docs.withColumnsRenamed(own), benchmark, window)
+    kept = kept.where(_n_hit() <= F.lit(float(max_coverage)) * F.greatest(F.col("n_words"), F.lit(1)))
 
     def cut(batches):
         for part in slices(batches):
@@ -279,7 +288,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_hit:
     kept = kept.mapInArrow(cut, kept.schema)
     if "n_chars" in names:
         kept = kept.withColumn("n_chars", F.when(F.size("hits") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*names)
+    return kept.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in names])
 
 
 def brute_force(texts: dict, items: dict, window: int = WINDOW) -> dict:
