@@ -78,7 +78,7 @@ def test_components_equal_brute_force(spark):
 
 
 def test_texts_are_shuffled_when_too_many_are_looked_up(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SENT_ROWS", 0)
+    monkeypatch.setattr(jaccard, "SENT_ROWS", -1)
     base = [f"w{i}" for i in range(90)]
     texts = {i: " ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(80, 90)} | {1: "some other text of a few words", 2: None}
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, texts.items())).collect()}
