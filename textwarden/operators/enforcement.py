@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textwarden.functions import detectors as D
 from textwarden.functions.spans import let, replaced
-from textwarden.operators.policy import DEFAULT, Policy
+from textwarden.operators.policy import DEFAULT, Policy, Rule, action_for
 
 #: A window must show the longest least match whole.
 LONGEST = 64
@@ -107,32 +109,39 @@ class Replay:
     redactions: int = 0
     missed: list = field(default_factory=list)
     settled: list = field(default_factory=list)
+    chunks_in: int = 0
+    chunks_out: int = 0
+    detector_ms: float = 0.0
+    findings: list = field(default_factory=list)
 
     def _scan(self, start: int) -> list:
         found = []
         for r in self.policy.for_side("response"):
             base = start if r.stream_safe else 0
-            found += [(n, a + base, b + base, r.action_for(c)) for n, a, b, c in find(r.name, self.seen[base:], self.prompt)]
+            found += [(n, a + base, b + base, r.action_for(c), c) for n, a, b, c in find(r.name, self.seen[base:], self.prompt)]
+            # accounted, not measured
+            self.detector_ms += r.budget_ms * SHARE
         return found
 
     def _blocked(self, found: list) -> bool:
         blocks = [f for f in found if f[3] == "block"]
         if blocks:
-            name, a, b, _ = min(blocks, key=lambda f: f[1])
-            self.cut, self.past = name, max(0, self.sent - a)
+            name, a, b = min(blocks, key=lambda f: f[1])[:3]
+            self.cut, self.past, self.findings = name, max(0, self.sent - a), found
             self.leaked = min(b - a, self.past)
             self.out += self.policy.cut_message
+            self.chunks_out += 1
         return bool(blocks)
 
     def _release(self, upto: int, found: list, final: bool) -> None:
         wanted = [f for f in found if f[3] == "redact"]
         now = [f for f in wanted if f[1] >= self.sent and (final or f[2] <= upto)]
-        for n, a, b, _ in wanted:
+        for n, a, b, *_ in wanted:
             if a < self.sent and not any(n == m and a < y and x < b for m, x, y in (*self.missed, *self.settled)):
                 self.missed.append((n, a, b))
                 self.leaked, self.past = max(self.leaked, min(b - a, self.sent - a)), max(self.past, self.sent - a)
         text = self.seen[self.sent : upto]
-        for n, a, b, _ in sorted(now, key=lambda f: -f[1]):
+        for n, a, b, *_ in sorted(now, key=lambda f: -f[1]):
             a, b = a - self.sent, b - self.sent
             if 0 <= a <= b <= len(text):
                 text = f"{text[:a]}[redacted:{n}]{text[b:]}"
@@ -142,17 +151,22 @@ class Replay:
             self.first_emit = len(self.seen)
         self.out += text
         self.sent = upto
+        self.chunks_out += 1
+        self.findings = found
 
-    def push(self, chunk: str) -> None:
+    def push(self, chunk: str | None) -> None:
+        """The next chunk; a null one counts as empty."""
         if self.cut is not None:
             return
+        chunk = chunk or ""
+        self.chunks_in += 1
         self.seen += chunk
         look = self.policy.lookback
         found = self._scan(max(0, len(self.seen) - max(2 * look, LONGEST) - len(chunk)))
         if self._blocked(found) or len(self.seen) - self.sent <= look + self.policy.warmup:
             return
         upto = len(self.seen) - look
-        for _, a, b, action in found:
+        for _, a, b, action, _ in found:
             if action == "redact" and a >= self.sent and b > upto:
                 upto = min(upto, a)
         if upto > self.sent:
@@ -161,20 +175,31 @@ class Replay:
     def end(self) -> None:
         if self.cut is None:
             found = self._scan(0)
-            if not self._blocked(found) and self.sent < len(self.seen):
-                self._release(len(self.seen), found, True)
+            if not self._blocked(found):
+                if self.sent < len(self.seen):
+                    self._release(len(self.seen), found, True)
+                self.findings = found
 
     def row(self) -> tuple:
-        return self.cut is not None, self.cut, self.leaked, self.past, self.first_emit, self.redactions, len(self.missed), self.out
+        late, found = self.policy.stream_unsafe("response"), [{"detector": n, "start": a, "end_pos": b, "confidence": c} for n, a, b, _, c in self.findings]
+        return (self.cut is not None, self.cut, self.leaked, self.past, self.first_emit, self.redactions, len(self.missed), self.out,
+                self.chunks_in, self.chunks_out, late, round(self.detector_ms, 3), found)
 
 
-OUTCOME = "cut boolean, cut_reason string, leaked int, past int, first_emit int, redactions int, missed int, emitted string"
-COLUMNS = ["cut", "cut_reason", "leaked", "past", "first_emit", "redactions", "missed", "emitted"]
+#: Share of a detector's budget that a scan of a window is accounted with.
+SHARE = 0.25
+FOUND = "array<struct<detector:string,start:int,end_pos:int,confidence:string>>"
+OUTCOME = (
+    "cut boolean, cut_reason string, leaked int, past int, first_emit int, redactions int, missed int, emitted string, "
+    f"chunks_in int, chunks_out int, late_detectors array<string>, detector_ms double, findings {FOUND}"
+)
+COLUMNS = ["cut", "cut_reason", "leaked", "past", "first_emit", "redactions", "missed", "emitted", "chunks_in", "chunks_out", "late_detectors", "detector_ms", "findings"]
 
 
-def _frame(rows: list[tuple], key: str, cls) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=[key, *COLUMNS])
-    return df.astype({"leaked": "int32", "past": "int32", "first_emit": "Int32", "redactions": "int32", "missed": "int32"})
+def frame(rows: list[tuple], *first: str) -> pd.DataFrame:
+    """Rows of the first columns and a replay's, as OUTCOME has them."""
+    df = pd.DataFrame(rows, columns=[*first, *COLUMNS])
+    return df.astype({"first_emit": "Int32"} | {c: "int32" for c in ("leaked", "past", "redactions", "missed", "chunks_in", "chunks_out")})
 
 
 def enforce(chunks: DataFrame, key: str, policy: Policy = DEFAULT, prompt: str = "") -> DataFrame:
@@ -185,15 +210,52 @@ def enforce(chunks: DataFrame, key: str, policy: Policy = DEFAULT, prompt: str =
         for c in pdf.sort_values("seq").chunk:
             r.push(c)
         r.end()
-        return _frame([(pdf[key].iloc[0], *r.row())], key, None)
+        return frame([(pdf[key].iloc[0], *r.row())], key)
 
     kind = chunks.schema[key].dataType.simpleString()
     return chunks.select(key, "seq", "chunk").groupBy(key).applyInPandas(run, f"{key} {kind}, {OUTCOME}")
 
 
-def buffered(text: Column, found: Column, blocked: Column, policy: Policy = DEFAULT) -> Column:
-    """What a client gets if the whole response is scanned first."""
-    return F.when(blocked, F.lit(policy.cut_message)).otherwise(redact(text, found))
+def sizes(n: int, size: int = 6, jitter: int = 3, seed: int = 20260818, call: int = 1) -> Iterator[tuple[int, int]]:
+    """(start, end) of the chunks of n characters, the same for the same seed and call."""
+    rng, at = random.Random(f"{seed}:{call}"), 0
+    while at < n:
+        upto = min(n, at + max(1, size + (rng.randint(-jitter, jitter) if jitter else 0)))
+        yield at, upto
+        at = upto
+
+
+def replayed(text: str | None, policy: Policy = DEFAULT, prompt: str = "", **chunks) -> Replay:
+    """A whole response, cut into chunks as sizes() has them."""
+    r, text = Replay(policy, prompt), text or ""
+    for a, b in sizes(len(text), **chunks):
+        r.push(text[a:b])
+    r.end()
+    return r
+
+
+def buffered(text: Column, policy: Policy = DEFAULT, system_prompt: str = "") -> Column:
+    """What a client gets if the whole response is scanned first, as a struct of OUTCOME's fields. Nothing leaks."""
+    rules = policy.for_side("response")
+
+    def judged(rule: Rule) -> Column:
+        return F.transform(D.detect(rule.name, text, system_prompt=system_prompt), lambda f: F.struct(f.alias("f"), action_for(rule, f["confidence"]).alias("action")))
+
+    found = F.flatten(F.array(*map(judged, rules)))
+
+    def outcome(all_: Column) -> Column:
+        blocks = F.filter(all_, lambda x: x["action"] == "block")
+        wanted = F.transform(F.filter(all_, lambda x: x["action"] == "redact"), lambda x: x["f"])
+        # the first in place, and of these the first in the rules' order
+        reason = F.element_at(F.array_sort(F.transform(blocks, lambda x, i: F.struct(x["f"]["start"].alias("start"), i.alias("i"), x["f"]["detector"].alias("detector")))), 1)["detector"]
+        cut = F.size(blocks) > 0
+        return F.struct(
+            cut.alias("cut"), F.when(cut, reason).alias("cut_reason"), F.lit(0).alias("leaked"), F.lit(0).alias("past"), F.length(text).alias("first_emit"),
+            F.when(cut, 0).otherwise(F.size(wanted)).alias("redactions"), F.lit(0).alias("missed"), F.when(cut, F.lit(policy.cut_message)).otherwise(redact(text, wanted)).alias("emitted"),
+            F.lit(1).alias("chunks_in"), F.when(cut, 0).otherwise(1).alias("chunks_out"), F.array().cast("array<string>").alias("late_detectors"), F.lit(round(sum(r.budget_ms for r in rules) * SHARE, 3)).alias("detector_ms"),
+            F.transform(all_, lambda x: F.struct(x["f"]["detector"].alias("detector"), x["f"]["start"].alias("start"), x["f"]["end_pos"].alias("end_pos"), x["f"]["confidence"].alias("confidence"))).alias("findings"))
+
+    return let(found, outcome)
 
 
 def verdict(refused: Column, leaked: Column, redactions: Column, unchecked: Column) -> Column:
@@ -203,8 +265,25 @@ def verdict(refused: Column, leaked: Column, redactions: Column, unchecked: Colu
 def fail_modes(runs: DataFrame, key: str, mode: Column) -> DataFrame:
     """Which detectors of a side answer in time: closed stops after the first that fails, open goes on.
 
-    runs: key, name, budget_ms, elapsed_ms. Adds failed, adversarial (over five budgets) and counted.
+    runs: key, name, budget_ms, elapsed_ms, and error if detectors can fail otherwise. Adds failed, adversarial (over five
+    budgets) and counted.
     """
     w = Window.partitionBy(key).orderBy("budget_ms", "name").rowsBetween(Window.unboundedPreceding, -1)
-    r = runs.withColumn("failed", F.col("elapsed_ms") > F.col("budget_ms")).withColumn("adversarial", F.col("elapsed_ms") > 5 * F.col("budget_ms"))
+    failed = F.col("elapsed_ms") > F.col("budget_ms")
+    if "error" in runs.columns:
+        failed = failed | F.col("error").isNotNull()
+    r = runs.withColumn("failed", failed).withColumn("adversarial", F.col("elapsed_ms") > 5 * F.col("budget_ms"))
     return r.withColumn("counted", (mode == "open") | ~F.coalesce(F.max("failed").over(w), F.lit(False)))
+
+
+def spend(runs: DataFrame, key: str, policy: Policy = DEFAULT, side: str = "prompt") -> DataFrame:
+    """What a side's detectors cost each text, and how it ended: total_ms, detectors_run, answered, unavailable, adversarial
+    (names in the order they ran), failed_open, failed_closed and unchecked. runs: key, name, elapsed_ms and maybe error."""
+    budgets = runs.sparkSession.createDataFrame([(r.name, float(r.budget_ms)) for r in policy.for_side(side)], "name string, budget_ms double")
+    counted = fail_modes(runs.join(F.broadcast(budgets), "name"), key, F.lit(policy.mode_for(side))).where("counted")
+    ran = F.array_sort(F.collect_list(F.struct("budget_ms", "name", "failed", "adversarial")))
+    of = lambda x, keep: F.transform(F.filter(x, keep), lambda r: r["name"])
+    out = counted.groupBy(key).agg(F.round(F.sum("elapsed_ms"), 3).alias("total_ms"), F.count("*").alias("detectors_run"), ran.alias("_ran"))
+    out = out.withColumns({"answered": of("_ran", lambda r: ~r["failed"]), "unavailable": of("_ran", lambda r: r["failed"]), "adversarial": of("_ran", lambda r: r["adversarial"])}).drop("_ran")
+    lost, open_ = F.size("unavailable") > 0, policy.mode_for(side) == "open"
+    return out.withColumns({"failed_open": lost & F.lit(open_), "failed_closed": lost & F.lit(not open_), "unchecked": lost & F.lit(open_)})

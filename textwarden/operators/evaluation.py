@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textwarden.functions.canonical import canonical
+from textwarden.operators.policy import Policy
+from textwarden.operators.requests import detector_findings
+
 PREVALENCES = (0.5, 0.1, 0.01, 0.001, 0.0001)
 FLOOR = 0.5
 
@@ -64,3 +68,36 @@ def availability(df: DataFrame) -> DataFrame:
     both = F.col("model") * F.col("guard")
     combined, coverage, month = F.when(open_, F.col("model")).otherwise(both), F.when(open_, F.col("guard")).otherwise(F.lit(1.0)), 30 * 24 * 60.0
     return df.withColumns({"combined": F.bround(combined, 6), "downtime_min": F.bround((1 - combined) * month, 2), "coverage": F.bround(coverage, 6), "uncovered_min": F.bround((1 - coverage) * month, 2)})
+
+
+def measure(samples: DataFrame, policy: Policy, system_prompt: str = "", gate: bool = True) -> DataFrame:
+    """tp, fn, fp, tn of each rule. samples: side, text and expect_detectors; a rule is measured on the sides it applies to.
+
+    As a gate, only findings sure enough for the rule's own action count; as a signal, any finding does. The findings are
+    those of the request path. Every rule of the policy has a row, also without samples.
+    """
+    df = canonical(samples.select("side", "text", "expect_detectors"))
+
+    def one(r):
+        found = detector_findings(r, "text", system_prompt)
+        fired = F.exists(found, lambda f: f["action"] == r.action) if gate else F.size(found) > 0
+        return F.when(F.col("side").isin(*r.where), F.struct(F.lit(r.name).alias("detector"), F.array_contains("expect_detectors", r.name).alias("is_attack"), fired.alias("fired")))
+
+    each = df.select(F.explode(F.array(*[one(r) for r in policy.rules])).alias("x")).where("x is not null").select("x.*")
+    names = samples.sparkSession.createDataFrame([(r.name,) for r in policy.rules], "detector string")
+    return F.broadcast(names).join(rates(each), "detector", "left").na.fill(0, ["tp", "fn", "fp", "tn"])
+
+
+def posture(measured: DataFrame, policy: Policy) -> DataFrame:
+    """A policy's report card: for each rule whether its action is justified at the policy's prevalence, and why."""
+    rules = measured.sparkSession.createDataFrame([(r.name, r.action) for r in policy.rules], "detector string, action string")
+    both = F.broadcast(rules).join(measured, "detector", "left").na.fill(0, ["tp", "fn", "fp", "tn"])
+    known = F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn") > 0
+    judged = justify(both, F.col("action"), policy.prevalence)
+    return judged.withColumns({"justified": F.col("justified") & known, "reason": F.when(known, F.col("reason")).otherwise("nothing was measured")})
+
+
+def fail_costs(spark: SparkSession, policy: Policy, model: float = 0.999, guard: float = 0.999) -> DataFrame:
+    """The availability of each side under the policy's fail modes; the two nines are assumptions."""
+    rows = [(s, float(model), float(guard), policy.mode_for(s) == "open") for s in ("prompt", "response")]
+    return availability(spark.createDataFrame(rows, "side string, model double, guard double, fail_open boolean"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import random
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textwarden.operators.enforcement import sizes
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,13 +22,7 @@ def jittered(df: DataFrame, key: str, text: str = "text", size: int = 6, jitter:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
-            for k, t in zip(pdf[key], pdf[text], strict=True):
-                rng, at, seq = random.Random(f"{seed}:{call}"), 0, 0
-                while t and at < len(t):
-                    n = max(1, size + (rng.randint(-jitter, jitter) if jitter else 0))
-                    out.append((k, seq, t[at : at + n], at + n >= len(t)))
-                    at, seq = at + n, seq + 1
+            out = [(k, i, t[a:b], b == len(t)) for k, t in zip(pdf[key], pdf[text], strict=True) if t for i, (a, b) in enumerate(sizes(len(t), size, jitter, seed, call))]
             yield pd.DataFrame(out, columns=[key, "seq", "chunk", "is_last"]).astype({"seq": "int32"})
 
     kind = df.schema[key].dataType.simpleString()

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from textwarden.operators.enforcement import COLUMNS, OUTCOME, Replay
+from textwarden.operators.enforcement import OUTCOME, Replay, frame
 from textwarden.operators.policy import DEFAULT, Policy
 
 CHUNKS = "response_id long, seq int, chunk string, is_last boolean"
@@ -17,13 +17,23 @@ CHUNKS = "response_id long, seq int, chunk string, is_last boolean"
 def enforce_stream(chunks: DataFrame, policy: Policy = DEFAULT, prompt: str = "", timeout_ms: int = 3_600_000) -> DataFrame:
     """A row for each response once its last chunk has come, in order of seq; chunks that come early wait in the state.
 
-    chunks: response_id, seq (from 0 without gaps), chunk, is_last. Repeated chunks are ignored. A response that falls
+    chunks: response_id, seq (from 0 without gaps), chunk (null: empty), is_last. Repeated chunks are ignored, also those
+    that come within timeout_ms after a response has ended: its state stays as a mark for so long. A response that falls
     silent for timeout_ms is ended with what came.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         replay, wanted, early = pickle.loads(state.get[0]) if state.exists else (Replay(policy, prompt), 0, {})
         over = state.hasTimedOut
+        if replay is None:
+            # ended before: what comes again is passed over, until the mark goes
+            for _ in frames if not over else ():
+                pass
+            if over:
+                state.remove()
+            else:
+                state.setTimeoutDuration(timeout_ms)
+            return
         if not over:
             for pdf in frames:
                 for row in pdf.itertuples(index=False):
@@ -38,8 +48,11 @@ def enforce_stream(chunks: DataFrame, policy: Policy = DEFAULT, prompt: str = ""
             state.setTimeoutDuration(timeout_ms)
             return
         replay.end()
-        state.remove()
-        df = pd.DataFrame([(key[0], *replay.row())], columns=["response_id", *COLUMNS])
-        yield df.astype({"leaked": "int32", "past": "int32", "first_emit": "Int32", "redactions": "int32", "missed": "int32"})
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            state.update((pickle.dumps((None, wanted, {})),))
+            state.setTimeoutDuration(timeout_ms)
+        yield frame([(key[0], *replay.row())], "response_id")
 
     return chunks.groupBy("response_id").applyInPandasWithState(step, f"response_id long, {OUTCOME}", "state binary", "append", "ProcessingTimeTimeout")
