@@ -47,12 +47,11 @@ def test_removal_leaves_clean_texts_alone(spark):
 
 
 @pytest.mark.parametrize("most", [decontaminate.MAX_WORDS, 8])
-def test_columns_of_any_name_come_back(spark, monkeypatch, most):
-    monkeypatch.setattr(decontaminate.match, "__defaults__", (decontaminate.WINDOW, most))
+def test_columns_of_any_name_come_back(spark, most):
     items = frame(spark, [(1, "one two three four five six seven eight nine ten"), (2, "red green blue cyan pink grey teal gold lime navy plum")], "item_id long, text string")
     rows = [(i, f"{'w ' * 30}{t} end", i * 3, "h", [i]) for i, t in enumerate(["one two three four five six seven eight nine ten", "plain", "red green blue cyan pink grey teal gold lime navy"])]
     docs = frame(spark, rows, "doc_id long, text string, _row long, hits string, items array<long>")
-    got = {r["doc_id"]: r for r in decontaminate.remove(docs, items).collect()}
+    got = {r["doc_id"]: r for r in decontaminate.remove(docs, items, max_words=most).collect()}
     assert all(got[i]["_row"] == i * 3 and got[i]["hits"] == "h" and got[i]["items"] == [i] for i in range(3))
     assert [got[i]["text"] for i in range(3)] == ["w " * 30 + " end", rows[1][1], "w " * 30 + " end"]
     assert decontaminate.remove(docs.limit(0), items).count() == 0 and decontaminate.report(docs, items.limit(0)).where("n_hit > 0").count() == 0

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handed to Python at once: a batch of Arrow rows is worked on in slices of about so many characters.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +89,27 @@ def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
 ROW = "struct<file:bigint,at:bigint>"
 
 
+def _released() -> None:
+    """Gives freed memory back, as Python workers outlive their tasks beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), with a worker's memory given back when a partition ends."""
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _released()
+
+    return df.mapInArrow(released, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds one text or at most about so many characters."""
     for batch in batches:

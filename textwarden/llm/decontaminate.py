@@ -18,14 +18,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import fresh, slices, words, written
+from textwarden.llm.common import fresh, mapped, slices, words, written
 
 WINDOW = 10
 #: Words that one automaton holds at most, unless a single item has more: some 100 MB of memory.
@@ -184,10 +185,11 @@ def _automaton(items: DataFrame, group: int, groups: int, window: int) -> Automa
     return Automaton(sorted(((r["item_id"], words(r["text"])) for r in part.toLocalIterator()), key=lambda r: (str(r[0]), r[1])), window)
 
 
-def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS, then: Callable | None = None) -> DataFrame:
     """Each row of docs with n_words, hits (array of word intervals, end exclusive) and items (sorted ids) added.
 
-    The columns of docs stay, except for any of these three names.
+    The columns of docs stay, except for any of these three names. then: what is made of each record batch before it is given
+    out, with the same columns.
     """
     spark = docs.sparkSession
     mine = ("n_words", "hits", "items")
@@ -212,10 +214,11 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words
                 new = [pa.array(v, type=f.type) for v, f in zip((counts, spans, items), schema, strict=True)]
                 old = [part.column(i) for i in range(part.num_columns) if keep or part.schema.names[i] != "text"]
                 names = [n for n in part.schema.names if keep or n != "text"]
-                yield pa.RecordBatch.from_arrays([*old, *new], names=[*names, *schema.names])
+                out = pa.RecordBatch.from_arrays([*old, *new], names=[*names, *schema.names])
+                yield then(out) if then and keep else out
 
         base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if keep or f.name != "text")
-        out = df.mapInArrow(run, f"{base}, {added}")
+        out = mapped(df, run, f"{base}, {added}")
         if keep:
             return out
         out = written(out)
@@ -244,7 +247,8 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words
                 F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return keyed.join(both.withColumn("hits", merged).withColumnRenamed("_row", row), row).drop(row)
+    rows = keyed.join(both.withColumn("hits", merged).withColumnRenamed("_row", row), row).drop(row)
+    return mapped(rows, lambda batches: map(then, slices(batches)), rows.schema) if then else rows
 
 
 def _n_hit():
@@ -260,7 +264,24 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     )
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
+def _cut(part: pa.RecordBatch, max_coverage: float) -> pa.RecordBatch:
+    """The rows whose hit words are no more than a share of all, their texts without these."""
+    found, words_ = part.column("hits").to_pylist(), part.column("n_words").to_pylist()
+    keep = [sum(h["end"] - h["start"] for h in hits) <= max_coverage * max(n, 1) for hits, n in zip(found, words_, strict=True)]
+    texts = part.column("text").to_pylist()
+    for i, hits in enumerate(found):
+        if hits and keep[i]:
+            at = [m.span() for m in _CHARS.finditer(texts[i])]
+            out, done = [], 0
+            for h in hits:
+                out.append(texts[i][done : at[h["start"]][0]])
+                done = at[h["end"] - 1][1]
+            texts[i] = "".join([*out, texts[i][done:]])
+    cols = [pa.array(texts, type=pa.string()) if n == "text" else part.column(n) for n in part.schema.names]
+    return pa.RecordBatch.from_arrays(cols, names=part.schema.names).filter(pa.array(keep, pa.bool_()))
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, max_words: int = MAX_WORDS) -> DataFrame:
     """docs without the hit spans: each is cut from its first word's start to its last word's end.
 
     A document with more than max_coverage of its words hit goes as a whole. n_chars, where docs have it, follows the new
@@ -268,24 +289,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cove
     """
     names = docs.columns
     own = {c: fresh([*names, "n_words", "hits", "items"], f"_in_{c}") for c in names if c.lower() in ("n_words", "hits", "items")}
-    kept = match(docs.withColumnsRenamed(own), benchmark, window)
-    kept = kept.where(_n_hit() <= F.lit(float(max_coverage)) * F.greatest(F.col("n_words"), F.lit(1)))
-
-    def cut(batches):
-        for part in slices(batches):
-            texts = part.column("text").to_pylist()
-            for i, hits in enumerate(part.column("hits").to_pylist()):
-                if hits:
-                    at = [m.span() for m in _CHARS.finditer(texts[i])]
-                    out, done = [], 0
-                    for h in hits:
-                        out.append(texts[i][done : at[h["start"]][0]])
-                        done = at[h["end"] - 1][1]
-                    texts[i] = "".join([*out, texts[i][done:]])
-            cols = [pa.array(texts, type=pa.string()) if n == "text" else part.column(n) for n in part.schema.names]
-            yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
-
-    kept = kept.mapInArrow(cut, kept.schema)
+    kept = match(docs.withColumnsRenamed(own), benchmark, window, max_words, partial(_cut, max_coverage=max_coverage))
     if "n_chars" in names:
         kept = kept.withColumn("n_chars", F.when(F.size("hits") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in names])

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textwarden.llm.common import slices, words
+from textwarden.llm.common import mapped, slices, words
 
 BAND, COVERAGE = 8, 0.8
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
@@ -147,4 +147,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, kind)], names=["doc_id", "licenses"])
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_kind}, licenses array<struct<name:string,coverage:double,start:int,end:int>>")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {id_kind}, licenses array<struct<name:string,coverage:double,start:int,end:int>>")

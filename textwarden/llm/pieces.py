@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 
-from textwarden.llm.common import slices
+from textwarden.llm.common import mapped, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 PENALTY = 10
 #: Bytes of units and their ids that a task remembers; characters of a slice; units of a long text that are encoded at once.
-MEMORY, CHARS, STEP = 64 << 20, 1_000_000, 50_000
+MEMORY, CHARS, STEP = 32 << 20, 500_000, 50_000
 #: About what a remembered unit takes besides its characters and ids.
 _ENTRY = 190
 _BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -253,7 +253,7 @@ def _encoded(docs: DataFrame, model: str | bytes, schema: str, give: Callable) -
         for part in slices(batches, chars=CHARS):
             yield give(part, *encoder(part.column("text").to_pylist()))
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def encode(docs: DataFrame, model: str | bytes = MODEL) -> DataFrame:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import fit_logistic, labelled_sample, logistic, slices, written
+from textwarden.llm.common import fit_logistic, labelled_sample, logistic, mapped, slices, written
 
 PER_CLASS = 1500
 SAMPLE_BYTES = 6_000_000
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("h", "y", "doc_id")), pa.array(raw, pa.binary())], names=["h", "y", "doc_id", "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
-    sent = kept.mapInArrow(cut, f"h long, y {kinds['y']}, doc_id {kinds['doc_id']}, text binary")
+    sent = mapped(kept, cut, f"h long, y {kinds['y']}, doc_id {kinds['doc_id']}, text binary")
     rows = sorted((r["h"], r["y"], r["doc_id"], bytes(r["text"])) for r in sent.collect())
     total = sizes[0] + sizes[1]
     share = sizes[1] / total if total else 0.5
@@ -142,4 +142,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "score"])
 
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{base}, score double")
+    return mapped(docs, run, f"{base}, score double")

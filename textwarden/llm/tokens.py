@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import slices
+from textwarden.llm.common import mapped, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How this vocabulary cuts a text before merging.
@@ -106,4 +106,4 @@ def count(docs: DataFrame, fields: list[str] | None = None, rule: str = "start",
             yield pa.RecordBatch.from_arrays([pa.array(ids, part.schema.field("doc_id").type), *cols], names=["doc_id", "section", "start_char", "end_char", "n_tokens", "n_crossing"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, section int, start_char long, end_char long, n_tokens double, n_crossing long")
+    return mapped(source, run, f"doc_id {kind}, section int, start_char long, end_char long, n_tokens double, n_crossing long")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.common import fit_logistic, labelled_sample, logistic, slices, words, written
+from textwarden.llm.common import fit_logistic, labelled_sample, logistic, mapped, slices, words, written
 
 PER_CLASS = 3000
 MAX_TERMS = 16384
@@ -245,14 +245,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     sample, sizes = labelled_sample(docs, labels, label, modulus, remainder, per_class)
 
     def count(batches):
-        for part in slices(batches):
+        for part in slices(batches, chars=500_000):
             at, ys = part.column("doc_id").to_pylist(), part.column("y").to_pylist()
             found = [Counter(words(t)) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(at, pa.int64()), pa.array(ys, pa.int32()), pa.array([list(c.items()) for c in found], pa.map_(pa.binary(), pa.int32()))], names=["doc_id", "y", "counts"]
             )
 
-    counted = written(sample.mapInArrow(count, "doc_id long, y int, counts map<binary,int>"))
+    counted = written(mapped(sample, count, "doc_id long, y int, counts map<binary,int>"))
     n = {int(r["y"]): int(r["n"]) for r in counted.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     # at most max_terms words come to the driver, and then the examples' counts of these words only
@@ -280,7 +280,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m, memo = sent.value, {}
-        for part in slices(batches, chars=1_000_000):
+        for part in slices(batches, chars=500_000):
             counts = [m.counts(t) for t in part.column("text").to_pylist()]
             keys = [xxhash.xxh3_128_digest(b"".join(b"%b %d " % x for x in sorted(c.items()))) for c in counts]
             if len(memo) > MEMORY:
@@ -292,4 +292,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(found, evidence)], names=[*part.schema.names, "score", "evidence"])
 
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{base}, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
+    return mapped(docs, run, f"{base}, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
