@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from textwarden.llm import decontaminate, jaccard, licenses, neighbours, pieces, pii, quality, sharding, tokens, toxicity
@@ -402,6 +404,82 @@ def test_sharding_is_even_and_stable(spark):
             sharding.lookup({"a": 1}, bad)
 
 
+def test_each_row_goes_where_its_hash_says(spark):
+    shards = {f"s{i}": 1 + i % 3 for i in range(7)}
+    rows = [(i, "x", i * 2) for i in range(200)] + [(None, "y", 1), (5, "z", 2)]
+    got = sharding.assign(frame(spark, rows, "doc_id long, text string, SLOT int"), ["doc_id", "text"], shards, 101).collect()
+    table_ = sharding.lookup(shards, 101)
+
+    def place(*keys):
+        h = 42
+        for k in keys:
+            h = xxhash.xxh64_intdigest((0 if k is not None else 1).to_bytes(4, "little"), h)
+            h = h if k is None else xxhash.xxh64_intdigest(str(k).encode(), h)
+        return (h - (1 << 64) if h >> 63 else h) % 101
+
+    assert len(got) == len(rows) and set(got[0].asDict()) == {"doc_id", "text", "slot", "shard"}
+    assert all(r["slot"] == place(r["doc_id"], r["text"]) and r["shard"] == table_[r["slot"]] for r in got)
+    assert sharding.assign(frame(spark, []), ["doc_id"], shards, 101).count() == 0
+    # the rule itself, slot by slot
+    taken, turn = {}, {n: ((sharding._hash(n, "offset") + j * (sharding._hash(n, "skip") % 100 + 1)) % 101 for j in range(101)) for n in sorted(shards)}
+    while len(taken) < 101:
+        for n in sorted(shards):
+            for _ in range(shards[n]):
+                if len(taken) < 101:
+                    taken[next(x for x in turn[n] if x not in taken)] = n
+    assert [taken[i] for i in range(101)] == table_
+
+
+def test_scans_equal_alignment_at_every_place(spark):
+    rng = random.Random(21)
+    index = licenses.Index(licenses.TEMPLATES)
+    plain = {n: [w.decode() for w in decontaminate.words(t)] for n, t in licenses.TEMPLATES.items()}
+    texts = {}
+    for i in range(80):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            ws = list(plain[rng.choice(sorted(plain))])
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                ws[rng.randrange(len(ws))] = rng.choice(["zz", "license", "the"])
+            parts += rng.choices(["aa", "the", "license", "under"], k=rng.randint(9, 15)) + ws
+        texts[i] = " ".join(parts)
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(frame(spark, [*texts.items(), (500, None), (501, "")])).collect()}
+    for i, text in texts.items():
+        ws, found = decontaminate.words(text), set()
+        ids = [index.vocabulary.get(w, -1) for w in ws]
+        for t, name in enumerate(index.names):
+            need = 0.8 * len(index.texts[t])
+            left = [(0, len(ids))]
+            while left:
+                a, b = left.pop()
+                matched, x, y = index.align(t, ids[a:b], -len(ids), len(ids), need) if b > a else (0, 0, 0)
+                if matched and matched >= need:
+                    found.add((name, round(matched / len(index.texts[t]), 9)))
+                    left += [(a, a + x), (a + y, b)]
+        names = {(x["name"], round(x["coverage"], 9)) for x in got[i]}
+        assert names <= found and {n for n, _ in found} - {n for n, _ in names} <= {n for n, c in found if any(c <= d for _, d in names)}
+        assert all(" ".join(text[x["start"] : x["end"]].split()) for x in got[i])
+    assert got[500] == got[501] == []
+
+
+def test_quality_scores_equal_sizes_of_compressed_blocks(spark):
+    docs, labels = table(spark, DATA, "documents").select("doc_id", "text"), table(spark, DATA, "labels")
+    model = quality.train(docs, labels)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert len(got) == len(text)
+    for d in sorted(text)[::11]:
+        raw, sizes = (text[d] or "").encode(), []
+        for dictionary in (model.good, model.bad):
+            z = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(z.compress(raw[i : i + quality.BLOCK])) for i in range(0, len(raw), quality.BLOCK)))
+        x = 10 * (sizes[1] - sizes[0]) / max(1, sum(sizes))
+        want = 1 / (1 + np.exp(-(x * model.curve[0] + model.curve[1]))) if raw else model.share
+        assert abs(got[d] - want) < 0.02
+    clash = quality.score(frame(spark, [(1, "some text", 3.0)], "doc_id long, text string, SCORE double"), model).collect()
+    assert len(clash) == 1 and 0 <= clash[0]["score"] <= 1 and quality.score(docs.limit(0), model).count() == 0
+
+
 def test_pieces_round_trip_and_best_sums(spark):
     texts = [(1, "Hello  world\n foo"), (2, "ｆｕｌｌ 😀 \t x"), (3, "  lead and trail  "), (4, "▁"), *ODD]
     got = {r["doc_id"]: r for r in pieces.encode(frame(spark, texts)).collect()}

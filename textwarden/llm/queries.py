@@ -60,4 +60,21 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_token_counts": op1_token_counts, "op2_license_scan": op2_license_scan, "op3_quality": op3_quality, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_neighbours": op6_neighbours, "op7_decontamination": op7_decontamination, "op8_jaccard": op8_jaccard, "op9_sharding": op9_sharding, "op10_pieces": op10_pieces}
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# the definitions themselves, without the methods: windows joined with windows, shingles with shingles
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, l, array_to_string(w[p:p + l - 1], ' ') AS k FROM (SELECT item, w, least(10, len(w)) AS l FROM i WHERE len(w) > 0), unnest(range(1, len(w) - l + 2)) AS q(p)),
+dw AS (SELECT doc_id, l, p, array_to_string(w[p:p + l - 1], ' ') AS k FROM d, (SELECT DISTINCT l FROM iw), unnest(range(1, len(w) - l + 2)) AS q(p)),
+h AS (SELECT doc_id, p, l, item FROM dw JOIN iw USING (l, k)),
+n AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM h, unnest(range(p, p + l)) AS q(x) GROUP BY doc_id),
+m AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op8_jaccard": rf"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM t),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS k FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.k = b.k AND a.doc_id <> b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.doc_id)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) USING (doc_id)""",
+}
