@@ -98,8 +98,17 @@ def _released() -> None:
         pass
 
 
+#: Rows of an Arrow batch where the session has no figure of its own: whole texts are large rows, and each batch is held by
+#: the JVM, outside its heap, and by the worker.
+BATCH_ROWS, _ROWS = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow(run, schema), with a worker's memory given back when a partition ends."""
+    """df.mapInArrow(run, schema), with a worker's memory given back when a partition ends. Sets the session's rows of a batch
+    to BATCH_ROWS if they are at their default."""
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS) == "10000":
+        conf.set(_ROWS, str(BATCH_ROWS))
 
     def released(batches):
         try:
