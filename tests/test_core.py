@@ -1,7 +1,9 @@
 import base64
+import json
 import os
 import random
 import re
+import time
 import unicodedata
 from dataclasses import replace
 
@@ -147,14 +149,22 @@ def test_redaction_holds_back_incomplete_spans():
     assert replayed(text, 6, 4).missed
 
 
+def drained(query, rows):
+    """Stops a stream when it has read so many rows: pending timeouts keep it from ending by itself."""
+    end = time.time() + 90
+    while time.time() < end and query.isActive and sum(p["numInputRows"] for p in query.recentProgress) < rows:
+        time.sleep(0.3)
+    query.stop()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     texts = {1: f"hello {KEY} bye " + "." * 50, 2: "mail me at a@example.org please " * 4, 3: "", 4: "clean " * 30}
     rows = [(k, i, t[a : a + 7], a + 7 >= len(t)) for k, t in texts.items() for i, a in enumerate(range(0, max(1, len(t)), 7))]
     random.Random(3).shuffle(rows)
     batch = spark.createDataFrame(rows + rows[:5], CHUNKS)
     batch.write.parquet(str(tmp_path / "in"))
-    q = enforce_stream(spark.readStream.schema(CHUNKS).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("sent").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = enforce_stream(spark.readStream.schema(CHUNKS).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("sent").option("checkpointLocation", str(tmp_path / "c")).start()
+    drained(q, len(rows) + 5)
     got = sorted(map(tuple, spark.table("sent").collect()))
     assert got == sorted(map(tuple, E.enforce(spark.createDataFrame(rows, CHUNKS), "response_id").collect()))
 
@@ -231,8 +241,8 @@ def test_chunks_that_come_again_later_make_no_second_row(spark, tmp_path):
     for part in (rows, rows[:2], [(2, 1, None, True)], rows):
         spark.createDataFrame(part, CHUNKS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     q = enforce_stream(spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    run = q.writeStream.format("memory").queryName("again").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    run = q.writeStream.format("memory").queryName("again").option("checkpointLocation", str(tmp_path / "c")).start()
+    drained(run, 9)
     got = spark.table("again").collect()
     assert sorted((r["response_id"], r["emitted"]) for r in got) == [(1, "clean text"), (2, "open")]
 
@@ -302,6 +312,13 @@ def test_report_and_pictures(spark, tmp_path):
     assert "&lt;b&gt;" in charts.redos_chart([(1, 1.0), (2, 3.0)], 7) or "<b>" not in charts.redos_chart([(1, 1.0)], 7)
 
 
+def test_experiments_are_written(spark, tmp_path):
+    made = {f.stem: json.loads(f.read_text()) for f in report.write_experiments(spark, str(tmp_path), lengths=(8, 12))}
+    assert made["stream_vs_buffer"]["smallest_safe"] == 48 and len(made["stream_vs_buffer"]["curve"]) == 60 and len(made["bypass_matrix"]["matrix"]) == 8
+    assert [d["needed"] for d in made["base_rate"]["detectors"]] == [2499] * 7 and made["latency_budget"]["cases"] == 28 and len(made["redos_fail_open"]["curve"]) == 2
+    assert labelled.load_policy() is DEFAULT
+
+
 def test_command_line(spark, tmp_path, capsys):
     from textwarden.__main__ import main
 

@@ -77,3 +77,9 @@ def scannable(reads: str = "canonical", column: str = "text") -> Column:
     forms = {"canonical": ["canonical"], "raw": [column], "both": ["canonical", column]}[reads]
     own = [F.struct(F.lit("raw" if f == column else f).alias("form"), F.lit(0).alias("form_ix"), F.col(f).alias("value")) for f in forms]
     return F.concat(F.array(*own), F.transform("decoded", lambda v, i: F.struct(F.lit("decoded").alias("form"), i.alias("form_ix"), v.alias("value"))))
+
+
+def content_free(df: DataFrame, column: str = "text") -> DataFrame:
+    """Of a table that canonical() has been applied to: what was done and how much, without any of the text."""
+    others = [c for c in df.columns if c not in (column, "canonical", "decoded")]
+    return df.select(*others, F.length(column).alias("original_chars"), F.length("canonical").alias("canonical_chars"), F.size("decoded").alias("decoded_segments"))

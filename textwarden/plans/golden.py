@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions import detectors as D
-from textwarden.functions.canonical import canonical
+from textwarden.functions.canonical import canonical, content_free
 from textwarden.operators import enforcement as E
 from textwarden.operators import evaluation as V
 from textwarden.operators.policy import DEFAULT, action_for
@@ -216,6 +216,12 @@ def canonical_steps(spark, d):
     return canonical(c.withColumn("text", text)).select("c_custkey", "canonical", F.array_join("applied", ",").alias("applied"), "changed", "suspicious")
 
 
+def content_free_summary(spark, d):
+    """What the canonical form did to texts, without the texts."""
+    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lower("c_mktsegment"), F.repeat(F.lit(" \t"), (F.col("c_custkey") % 3).cast("int")), F.lit("\u200b.")).alias("text"))
+    return content_free(canonical(c)).withColumn("applied", F.array_join("applied", ","))
+
+
 def payload_counts(spark, d):
     """Findings of encoded payloads: one for each form and each text decoded, to a depth of two."""
     c = table(spark, d, "customer").select("c_custkey")
@@ -244,7 +250,7 @@ def redaction_leaks(spark, d):
 QUERIES = {f.__name__: f for f in (
     corpus_summary, corpus_as_declared, corpus_verdicts, corpus_verdicts_buffered, corpus_caveats, measured_rates, base_rates, posture_report, fail_costs, policy_actions, stream_vs_buffer, smallest_safe_lookback,
     latency_exchange, median_exchange, bypass_by_switch, refusal_oracle, redos_outcomes, requests_streamed, requests_buffered, spend_by_user, forms_scan, key_shapes, injection_phrases, echo_planted, canonical_steps,
-    payload_counts, redaction_leaks)}
+    content_free_summary, payload_counts, redaction_leaks)}
 
 # ---- the same in DuckDB's SQL
 
@@ -345,6 +351,8 @@ SELECT conv_id, turn, (min_by(pos, w) - 1)::INT AS start_pos, (min_by(pos, w) -
     "canonical_steps": """WITH t AS (SELECT c_custkey, c_custkey % 6 AS k, lower(c_mktsegment) AS s, regexp_matches(c_mktsegment, '[ABEO]') AS wide FROM customer)
 SELECT c_custkey, CASE k WHEN 2 THEN s || ' "x"-y' WHEN 3 THEN s || ' x' WHEN 4 THEN s || 'ss' ELSE s END AS canonical,
  CASE k WHEN 0 THEN 'invisible,case' WHEN 1 THEN CASE WHEN wide THEN 'nfkc,case' ELSE 'case' END WHEN 2 THEN 'homoglyphs' WHEN 3 THEN 'whitespace' WHEN 4 THEN 'case' ELSE '' END AS applied, k < 5 AS changed, k IN (0, 2) AS suspicious FROM t""",
+    "content_free_summary": """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'invisible' ELSE 'invisible,whitespace' END AS applied, true AS changed, true AS suspicious, (length(c_mktsegment) + c_custkey % 3 * 2 + 2)::INT AS original_chars,
+ (length(c_mktsegment) + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END)::INT AS canonical_chars, 0::INT AS decoded_segments FROM customer""",
     "payload_counts": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END::INT AS decoded, CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END::INT AS findings FROM customer",
     "redaction_leaks": """WITH t AS (SELECT c_custkey, c_custkey % 31 * 2 + 3 AS s, c_custkey % 31 * 2 + 37 + 130 AS n FROM customer),
 e AS (SELECT c_custkey, s, n, s + 31 AS fires, q.c, least(q.c * 6 + 6, n) AS upto FROM t, unnest(range(0, 60)) AS q(c) WHERE q.c * 6 < n),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textwarden.operators import evaluation as V
 from textwarden.operators.policy import DEFAULT, Policy
+from textwarden.operators.requests import timed_runs
 from textwarden.plans import experiments as X
 from textwarden.sources import labelled as L
 from textwarden.sources.charts import leak_chart, precision_chart, redos_chart
@@ -60,6 +61,25 @@ def build(spark: SparkSession, policy: Policy = DEFAULT, *, completion: str = "l
     }
 
 
+def write_experiments(spark: SparkSession, folder: str, policy: Policy = DEFAULT, lengths: tuple[int, ...] = X.REDOS_LENGTHS) -> list[Path]:
+    """Each experiment's results as a JSON file."""
+    there, curve, times = Path(folder), X.stream_vs_buffer(spark, policy), X.redos_curve(lengths)
+    there.mkdir(parents=True, exist_ok=True)
+    scan = [r["ms"] for r in timed_runs(L.cases(spark), "slug", policy, column="prompt", system_prompt=L.SYSTEM_PROMPT).groupBy("slug").agg(F.sum("elapsed_ms").alias("ms")).collect()]
+    made = {
+        "stream_vs_buffer": {"curve": _rows(curve), "zero_leak": _rows(X.zero_leak(curve)), **_rows(X.smallest_safe(curve))[0]},
+        "base_rate": {"prevalence": policy.prevalence, "detectors": _rows(X.base_rate(spark, policy))},
+        "bypass_matrix": {"switches": list(X.SWITCHES), "matrix": _rows(X.bypass_matrix(spark, policy)), "surviving": list(L.SURVIVING), "refusals": _rows(X.refusals(spark, policy))},
+        "latency_budget": {"cases": len(scan), "total_ms": sum(scan), "reserved_ms": policy.declared_budget_ms, "share_used": sum(scan) / max(1, len(scan)) / policy.declared_budget_ms, "rows": _rows(X.latency_exchange(curve.where("name = 'leaks_aws_key'")))},
+        "redos_fail_open": {"curve": [{"characters": n, "ambiguous_ms": a, "used_ms": u} for n, a, u in times], "outcomes": _rows(X.redos_outcomes(spark, max(a for _, a, _ in times), policy))},
+    }
+    out = []
+    for name, body in made.items():
+        out.append(there / f"{name}.json")
+        out[-1].write_text(json.dumps(body, indent=1))
+    return out
+
+
 def _tables(p: dict) -> list[tuple[str, list[str], list[list[object]]]]:
     """Headline tables of the payload: (title, columns, rows); the first two say what leaks and what is not supported."""
     blocking = [d["detector"] for d in p["detectors"] if d["action"] == "block"]
