@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.llm import decontaminate, jaccard, pieces, pii, toxicity
-from textwarden.llm.common import table, written
+from textwarden.llm.common import forget, table, written
 
 REJECT = 0.7
 
@@ -42,7 +42,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage returns; the table of a stage is removed when the next one has been written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        forget(before)
     return docs

@@ -421,7 +421,8 @@ def test_each_row_goes_where_its_hash_says(spark):
     assert all(r["slot"] == place(r["doc_id"], r["text"]) and r["shard"] == table_[r["slot"]] for r in got)
     assert sharding.assign(frame(spark, []), ["doc_id"], shards, 101).count() == 0
     # the rule itself, slot by slot
-    taken, turn = {}, {n: ((sharding._hash(n, "offset") + j * (sharding._hash(n, "skip") % 100 + 1)) % 101 for j in range(101)) for n in sorted(shards)}
+    order = lambda n: ((sharding._hash(n, "offset") + j * (sharding._hash(n, "skip") % 100 + 1)) % 101 for j in range(101))
+    taken, turn = {}, {n: order(n) for n in sorted(shards)}
     while len(taken) < 101:
         for n in sorted(shards):
             for _ in range(shards[n]):
