@@ -57,11 +57,12 @@ def _shape(text: Column, label: str, pattern: str) -> Column:
 
 
 def pii_email(text: Column) -> Column:
-    return F.transform(spans(text, EMAIL), lambda s: finding("pii_email", s, mask(s["value"], 2), "high", "an address")).cast(NONE)
+    return F.transform(spans(text, EMAIL, F.contains(text, F.lit("@"))), lambda s: finding("pii_email", s, mask(s["value"], 2), "high", "an address")).cast(NONE)
 
 
 def pii_card(text: Column) -> Column:
-    kept = F.filter(spans(text, "(?U)" + CARD), lambda s: luhn(s["value"]))
+    # without word bounds the engine is faster, and nearly all texts end there
+    kept = F.filter(spans(text, "(?U)" + CARD, text.rlike(r"\p{Nd}(?:[ -]?\p{Nd}){12}")), lambda s: luhn(s["value"]))
     return F.transform(kept, lambda s: finding("pii_card", s, mask(F.regexp_replace(s["value"], "[ -]", ""), 6), "high", "digits that pass the Luhn check")).cast(NONE)
 
 
