@@ -120,6 +120,25 @@ def test_nodes_that_share_too_few_keys_drop_out():
             assert any(shared[p] >= max(sketcher.need(a)[p], sketcher.need(b)[p]) for p in (0, 1))
 
 
+@pytest.mark.parametrize("hot", [jaccard.HOT, 8])
+def test_links_that_share_few_keys_outlast_every_round(spark, monkeypatch, hot):
+    # a text and its continuation share as few keys as a link can; each has a nearer text that does not link with the other's,
+    # and pages that link with nothing hold the least nodes of the keys
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    texts = {}
+    for seed, v in ((37544, 2), (37575, 0), (40511, 1)):
+        rng = random.Random(v)
+        x = [f"a{seed}.{i}" for i in range(50)]
+        y = x + [f"b{seed}.{i}" for i in range(11)]
+        family = [x, ["z", *x[1:]], y, ["w", *y[1:]]]
+        for i in range(10):
+            h = rng.choice([6, 7])
+            family += [[*(f"p{v}.{i}.{j}.{len(base)}" for j in range(h)), *base[h:]] for base in (x, y)]
+        texts |= {len(texts) + i: " ".join(t) for i, t in enumerate(family)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, texts.items())).collect()}
+    assert got == jaccard.brute_force(texts)
+
+
 def test_rows_keep_their_names_when_files_are_split_anew(spark, monkeypatch, tmp_path):
     rng = random.Random(3)
     base = [rng.choices([f"w{i}" for i in range(300)], k=60) for _ in range(40)]

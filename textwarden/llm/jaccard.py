@@ -449,7 +449,8 @@ def _empty(df: DataFrame) -> bool:
 
 
 def _thinned(members: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows that comparing needs. members: key, node, n (nodes of the key), times (for how many keys a row stands).
+    """The rows that comparing needs. members: key, node, n (nodes of the key), times (for how many keys a row stands); all
+    rows of the mixed keys, as rows thinned before do not hold the numbers that are needed any more.
 
     Two nodes that link share some number of keys of a band at least (even, odd), so nodes that share fewer with anyone drop
     out; and where each leaves out one key less than that number, the largest ones in one order for all, one is still shared.
@@ -497,16 +498,17 @@ class _Links:
             old, self.comp = self.comp, components(self.links)
             forget(old)
 
-    def mixed(self, members: DataFrame, banded: bool) -> DataFrame:
-        """key, node, comp and n (how many nodes the key holds) of the keys whose nodes lie in different components."""
-        at = members.join(self.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    def mixed(self, members: DataFrame) -> DataFrame:
+        """key, node, comp, times and n (how many nodes the key holds) of the keys whose nodes lie in different components."""
+        at = members.select("key", "node", "times").join(self.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (0, 1)]
         keys = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.max("times").alias("times"), *mark).where("lo != hi")
         # keys that hold the same nodes would be compared alike: one of them is enough, and stands for the others
         keys = keys.groupBy(F.col("key").bitwiseAND(F.lit(1)), "n", "mark0", "mark1").agg(F.min("key").alias("key"), F.sum("times").alias("times")).select("key", "times", "n")
-        at = at.drop("times").join(keys, "key")
-        if not banded:
-            return at
+        return at.drop("times").join(keys, "key")
+
+    def thinned(self, at: DataFrame) -> DataFrame:
+        """The rows of mixed() that comparing needs, of the keys that are still mixed by these."""
         left = _thinned(at, self.known).drop("n")
         keys = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", "n")
         return left.join(keys, "key")
@@ -517,15 +519,19 @@ class _Links:
         self.verify(near(_few(written(_starred(members))), self.known, self.percent), sets)
         sketches = self.known.select("node", "size", "sketch")
         for nearest in [True] * NEAREST_ROUNDS + [False]:
-            rest = written(self.mixed(members, not cells))
+            # each round thins anew, from all rows
+            old, members = members, written(self.mixed(members))
+            forget(old)
+            rest = members if cells else written(self.thinned(members))
             groups = rest.where(F.col("n") <= HOT).withColumn("block", F.lit(-1))
             if cells:
                 groups = groups.unionByName(_cells(rest.where(F.col("n") > HOT)))
             if not _empty(groups):
                 self.verify(_across(self.dealt(groups.join(sketches, "node")), self.percent, nearest).distinct(), sets)
-            members = rest.select("key", "node", "times")
         hot = rest.where(F.col("n") > HOT)
-        return None if cells or _empty(hot) else written(hot.select("node").distinct())
+        left = None if cells or _empty(hot) else written(hot.select("node").distinct())
+        forget(members)
+        return left
 
 
 def _cells(hot: DataFrame) -> DataFrame:
