@@ -343,3 +343,30 @@ def test_completions_and_cases_by_name(spark):
         labelled.completions(spark, "none")
     with pytest.raises(KeyError):
         labelled.cases(spark, slug="none")
+
+
+@pytest.mark.parametrize("lookback", [0, 24, 96])
+def test_windows_without_marks_are_not_scanned(monkeypatch, lookback):
+    calls, find = [], E.find
+    monkeypatch.setattr(E, "find", lambda *a: calls.append(a) or find(*a))
+    policy = replace(DEFAULT, lookback=lookback)
+    for text, most in (("no such thing here. " * 200, 4), ("." * 900 + f"a@b.org {KEY}", 200)):
+        want = E.Replay(policy)
+        for a in range(0, len(text), 6):
+            want.push(text[a : a + 6])
+        want.end()
+        calls.clear()
+        got = E.replayed(text, policy, jitter=0)
+        assert got.row() == want.row() and len(calls) <= most
+    for name, p in D.SHAPES.items():
+        starts, least = D.STARTS[name]
+        assert all(not re.search(p, (s + "-----BEGIN PRIVATE KEY-----"[len(s) :] if s[0] == "-" else s + "a" * 40)[: least - 1]) for s in starts)
+
+
+def test_each_lookback_in_one_pass_over_rows(spark):
+    rows = [(k, i, t[a : a + 6]) for k, t in ((1, f"to {KEY} now" + "." * 80), (2, "write to a.b@example.org, " * 9), (None, "clean")) for i, a in enumerate(range(0, len(t), 6))]
+    chunks = spark.createDataFrame(rows, "k long, seq int, chunk string")
+    got = E.enforce(chunks, "k", lookbacks=(0, 8, 96))
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    one = [(r["k"], look, *r[1:]) for look in (0, 8, 96) for r in E.enforce(chunks, "k", replace(DEFAULT, lookback=look)).collect()]
+    assert sorted(map(repr, one)) == sorted(repr(tuple(r)) for r in got.collect()) and len(one) == 9
