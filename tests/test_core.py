@@ -21,7 +21,7 @@ from textwarden.operators.policy import load
 from textwarden.operators.requests import handle, scanned, timed_runs
 from textwarden.plans import catalogue, experiments, golden
 from textwarden.sources import charts, labelled, report
-from textwarden.sources.corpus import as_json, as_markdown, jittered, write_report
+from textwarden.sources.corpus import as_json, as_markdown, jittered, spread, write_report
 from textwarden.streaming.enforce import CHUNKS, enforce_stream
 
 DATA = "/root/testdata/sf0.001"
@@ -370,3 +370,10 @@ def test_each_lookback_in_one_pass_over_rows(spark):
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
     one = [(r["k"], look, *r[1:]) for look in (0, 8, 96) for r in E.enforce(chunks, "k", replace(DEFAULT, lookback=look)).collect()]
     assert sorted(map(repr, one)) == sorted(repr(tuple(r)) for r in got.collect()) and len(one) == 9
+
+
+def test_tables_of_few_files_are_dealt_to_all_cores(spark):
+    n = spark.sparkContext.defaultParallelism
+    p, span = catalogue._streams(spark, DATA)
+    assert p.rdd.getNumPartitions() == 4 * n and p.select("c_custkey").subtract(span.select("c_custkey")).count() == 0 < p.count()
+    assert spread(spark.range(10, numPartitions=4 * n)).rdd.getNumPartitions() == 4 * n
