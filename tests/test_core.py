@@ -377,3 +377,7 @@ def test_tables_of_few_files_are_dealt_to_all_cores(spark):
     p, span = catalogue._streams(spark, DATA)
     assert p.rdd.getNumPartitions() == 4 * n and p.select("c_custkey").subtract(span.select("c_custkey")).count() == 0 < p.count()
     assert spread(spark.range(10, numPartitions=4 * n)).rdd.getNumPartitions() == 4 * n
+
+
+def test_spans_of_responses_are_not_sent_to_the_driver(spark):
+    assert "Broadcast" not in catalogue.leak_curve(spark, DATA)._jdf.queryExecution().executedPlan().toString()
