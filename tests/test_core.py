@@ -379,5 +379,6 @@ def test_tables_of_few_files_are_dealt_to_all_cores(spark):
     assert spread(spark.range(10, numPartitions=4 * n)).rdd.getNumPartitions() == 4 * n
 
 
-def test_spans_of_responses_are_not_sent_to_the_driver(spark):
-    assert "Broadcast" not in catalogue.leak_curve(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("name", ["leak_curve", "zero_leak_lookback"])
+def test_spans_of_responses_are_not_sent_to_the_driver(spark, name):
+    assert "Broadcast" not in EVERY[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
