@@ -382,3 +382,17 @@ def test_tables_of_few_files_are_dealt_to_all_cores(spark):
 @pytest.mark.parametrize("name", ["leak_curve", "zero_leak_lookback"])
 def test_spans_of_responses_are_not_sent_to_the_driver(spark, name):
     assert "Broadcast" not in EVERY[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunk_sizes_are_drawn_once_a_call(monkeypatch):
+    made, make = [], random.Random
+    monkeypatch.setattr(random, "Random", lambda seed: made.append(seed) or make(seed))
+    E._drawn.cache_clear()
+    for n in (50, 7, 0, 400, 399):
+        for call in (1, 2):
+            rng, at, want = make(f"20260818:{call}"), 0, []
+            while at < n:
+                want.append((at, min(n, at + max(1, 6 + rng.randint(-3, 3)))))
+                at = want[-1][1]
+            assert list(E.sizes(n, call=call)) == want
+    assert made == ["20260818:1", "20260818:2"]
