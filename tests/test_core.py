@@ -396,3 +396,8 @@ def test_chunk_sizes_are_drawn_once_a_call(monkeypatch):
                 at = want[-1][1]
             assert list(E.sizes(n, call=call)) == want
     assert made == ["20260818:1", "20260818:2"]
+
+
+def test_forms_are_made_once_for_all_readings(spark):
+    plan = golden.forms_scan(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("nfkc(") == 1 and "Union" not in plan
