@@ -401,3 +401,8 @@ def test_chunk_sizes_are_drawn_once_a_call(monkeypatch):
 def test_forms_are_made_once_for_all_readings(spark):
     plan = golden.forms_scan(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("nfkc(") == 1 and "Union" not in plan
+
+
+def test_fixed_texts_come_in_one_task(spark):
+    assert [f(spark).rdd.getNumPartitions() for f in (labelled.cases, labelled.completions, labelled.probes)] == [1, 1, 1]
+    assert [f(spark).count() for f in (labelled.cases, labelled.completions, labelled.probes)] == [28, 10, 4]
