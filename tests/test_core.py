@@ -406,3 +406,7 @@ def test_forms_are_made_once_for_all_readings(spark):
 def test_fixed_texts_come_in_one_task(spark):
     assert [f(spark).rdd.getNumPartitions() for f in (labelled.cases, labelled.completions, labelled.probes)] == [1, 1, 1]
     assert [f(spark).count() for f in (labelled.cases, labelled.completions, labelled.probes)] == [28, 10, 4]
+
+
+def test_labelled_cases_are_handled_in_one_task(spark):
+    assert golden.corpus_caveats(spark, "/none").rdd.getNumPartitions() == 1
